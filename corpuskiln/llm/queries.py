@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import decontamination, sharding, token_counts
 
 QUERIES = {
+    "op3_sharding": sharding.query,
     "op9_token_counts": token_counts.query,
+    "op10_decontamination": decontamination.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_decontamination": decontamination.SQL,
+}
