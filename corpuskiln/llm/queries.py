@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding, token_counts
+from . import decontamination, secrets, sharding, simhash, token_counts
 
 QUERIES = {
     "op3_sharding": sharding.query,
+    "op4_simhash": simhash.query,
+    "op8_secrets": secrets.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
 }
