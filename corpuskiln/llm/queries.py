@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, secrets, sharding, simhash, token_counts
+from . import decontamination, secrets, sentencepieces, sharding, simhash, token_counts, topk
 
 QUERIES = {
+    "op2_sentencepiece": sentencepieces.query,
     "op3_sharding": sharding.query,
     "op4_simhash": simhash.query,
+    "op6_topk": topk.query,
     "op8_secrets": secrets.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
 }
 
 ORACLE_SQL = {
+    "op6_topk": topk.SQL,
     "op10_decontamination": decontamination.SQL,
 }
