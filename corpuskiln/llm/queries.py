@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, secrets, sentencepieces, sharding, simhash, token_counts, topk
+from . import decontamination, quality, secrets, sentencepieces, sharding, simhash, token_counts, topk
 
 QUERIES = {
     "op2_sentencepiece": sentencepieces.query,
     "op3_sharding": sharding.query,
     "op4_simhash": simhash.query,
+    "op5_quality": quality.query,
     "op6_topk": topk.query,
     "op8_secrets": secrets.query,
     "op9_token_counts": token_counts.query,
