@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality, secrets, sentencepieces, sharding, simhash, token_counts, topk
+from . import decontamination, quality, secrets, sentencepieces, sharding, simhash, suffixes, token_counts, topk
 
 QUERIES = {
     "op2_sentencepiece": sentencepieces.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.query,
     "op5_quality": quality.query,
     "op6_topk": topk.query,
+    "op7_suffixes": suffixes.query,
     "op8_secrets": secrets.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,

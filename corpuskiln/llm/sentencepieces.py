@@ -320,10 +320,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """What the query returns of checked encodings: counts, a hash of the ids, and whether the text came back."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """What the query returns of checked encodings: counts, a hash of the ids, and whether the text came back; and ``more`` columns."""
     text = F.coalesce("text", F.lit(""))
-    return encoded.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.translate(text, SPACE, " ")).alias("round_trip"))
+    return encoded.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.translate(text, SPACE, " ")).alias("round_trip"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
