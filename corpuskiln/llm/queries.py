@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality, secrets, sentencepieces, sharding, simhash, suffixes, token_counts, topk
+from . import decontamination, ngrams, quality, secrets, sentencepieces, sharding, simhash, suffixes, token_counts, topk
 
 QUERIES = {
+    "op1_ngrams": ngrams.query,
     "op2_sentencepiece": sentencepieces.query,
     "op3_sharding": sharding.query,
     "op4_simhash": simhash.query,
