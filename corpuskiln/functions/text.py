@@ -69,7 +69,7 @@ def dedup_key(text: Column) -> Column:
 
 def clean_prompt(text: Column) -> Column:
     """Drops scrape residue and leading hashes, collapses white space."""
-    text = F.regexp_replace(text, r"(?i)>\s*indented block", " ")
+    text = F.regexp_replace(text, r"(?iU)>\s*indented block", " ")
     text = F.regexp_replace(text, r"(?U)\A\s*#+\s*", "")
     return strip(collapse_space(text))
 
@@ -103,12 +103,12 @@ def lines_with(text: Column, word: str) -> Column:
 
 
 def matches_any_case(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?i){pattern}")
+    return text.rlike(f"(?iU){pattern}")
 
 
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
     """The first of the patterns (any case) that is found in the text, else null."""
-    return F.coalesce(*[F.when(text.rlike(f"(?i){p}"), F.lit(p)) for p in patterns])
+    return F.coalesce(*[F.when(text.rlike(f"(?iU){p}"), F.lit(p)) for p in patterns])
 
 
 def squeezed_marker(text: Column, markers: Sequence[str]) -> Column:
@@ -187,7 +187,7 @@ def substitute(text: Column, mapping: Mapping[str, str]) -> Column:
         if any(re.search(rf"\b{re.escape(k)}\b", value, re.I) for k in mapping):
             raise ValueError(f"{value!r} would be replaced again")
     for key in sorted(mapping, key=lambda k: (-len(k), k)):
-        text = F.regexp_replace(text, rf"(?i)\b{_java(key)}\b", mapping[key].replace("\\", "\\\\").replace("$", "\\$"))
+        text = F.regexp_replace(text, rf"(?iU)\b{_java(key)}\b", mapping[key].replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 
@@ -220,7 +220,7 @@ def restore_tokens(source: Column, target: Column, lead: str, pattern: str = PRO
 
 def present_terms(text: Column, terms: Sequence[str]) -> Column:
     """The terms, in the order given, that occur in the text as words, plural or not."""
-    return F.filter(F.array(*[F.when(text.rlike(rf"(?i)\b{_java(t)}s?\b"), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(text.rlike(rf"(?iU)\b{_java(t)}s?\b"), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
 
 
 def append_terms(source: Column, target: Column, terms: Sequence[str], lead: str) -> Column:
@@ -239,7 +239,7 @@ def framed(text: Column, before: str, after: str, suffix: str | None = None) ->
     """A stripped sentence, without a suffix sentence that starts as given, between two others."""
     flat = F.regexp_replace(strip(collapse_space(text)), r"\.+\z", "")
     if suffix:
-        flat = F.regexp_replace(flat, rf"(?i)\s+{_java(suffix)}.*\z", "")
+        flat = F.regexp_replace(flat, rf"(?iU)\s+{_java(suffix)}.*\z", "")
     return F.concat(F.lit(before), F.regexp_replace(flat, r"[ .]+\z", ""), F.lit(after))
 
 
@@ -378,7 +378,7 @@ def relocked(prompt: Column, translated: Column, contract: str, label: str, rend
     contract: a pattern whose group 1 is the signature; label: what opens the translated requirement;
     render: the sentence, with {signature} and {requirement}. Null where the prompt has no contract.
     """
-    requirement = strip(F.get(F.reverse(F.split(translated, rf"(?i){label}", 2)), F.lit(0)))
+    requirement = strip(F.get(F.reverse(F.split(translated, rf"(?iU){label}", 2)), F.lit(0)))
     signature = F.regexp_extract(prompt, contract, 1)
     head, rest = render.split("{signature}")
     middle, end = rest.split("{requirement}")

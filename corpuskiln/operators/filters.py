@@ -32,7 +32,7 @@ def length_between(text: Column, low: int, high: int) -> Column:
 
 
 def is_complete_and_safe(code: Column) -> Column:
-    return ~code.rlike(f"(?i){INCOMPLETE}") & ~code.rlike(f"(?i){UNSAFE_MARKERS}")
+    return ~code.rlike(f"(?iU){INCOMPLETE}") & ~code.rlike(f"(?iU){UNSAFE_MARKERS}")
 
 
 def unsafe_reason(code: Column) -> Column:
