@@ -62,7 +62,7 @@ def format_probes(spark: SparkSession, fences: int, objects: int, bullets: int,
 def read_source_files(spark: SparkSession, path: str, most: int = 64 * 1024) -> DataFrame:
     """(path, code) of files of at most ``most`` bytes; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
-    return files.select("path", F.decode("content", "UTF-8").alias("code"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("code"))
 
 
 PROGRESS = r"^\[(\d+)/(\d+)\] (\S+) (\S+)$"
