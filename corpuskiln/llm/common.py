@@ -66,6 +66,14 @@ def bytes_of(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after the session is told to send few rows at once to Python: rows here are whole texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

@@ -106,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated. Null and empty texts stay."""
     bad = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_text")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

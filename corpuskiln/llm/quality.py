@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, small_batches, table, text_chunks
+from .common import bytes_of, free_name, small_batches, table, text_chunks
 from .tokens import mixed, tokenize
 
 BUCKETS, DIM, NONZERO, WINDOW = 8192, 32, 2, 2
@@ -174,13 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return vectors, train(x, np.array(got.column("y").to_pylist(), np.float64))
 
 
-def scored(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """The rows of docs, all columns, with ``_score``: the probability of label 1."""
-    schema = docs.withColumn("_score", F.lit(0.0)).schema
+def scored(docs: DataFrame, vectors: np.ndarray, network: Network, name: str = "_score") -> DataFrame:
+    """The rows of docs, all columns, with ``name``: the probability of label 1."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            yield batch.append_column("_score", pa.array(network.score(features(bytes_of(batch), vectors))))
+            yield batch.append_column(name, pa.array(network.score(features(bytes_of(batch), vectors))))
 
     return small_batches(docs).mapInArrow(run, schema)
 
@@ -200,7 +200,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that the classifier does not reject."""
     vectors, network = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
-    return scored(docs, vectors, network).where(F.col("_score") >= threshold).drop("_score")
+    name = free_name(docs, "_score")
+    return scored(docs, vectors, network, name).where(F.col(name) >= threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, checkpointed, small_batches, table, text_chunks
+from .common import bytes_of, checkpointed, free_name, small_batches, table, text_chunks
 from .components import components
 
 SEED = 42
@@ -152,7 +152,8 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     if again.isEmpty():
         return rows
     same = rows["doc_id"].eqNullSafe(again["_again_id"]) & (F.xxhash64(rows["text"]) == again["_again_text"])
-    once = rows.join(again, same, "left_semi").withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    name = free_name(docs, "_text_key")
+    once = rows.join(again, same, "left_semi").withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
     return rows.join(again, same, "left_anti").unionByName(once)
 
 
