@@ -119,9 +119,9 @@ def marker_rate(df: DataFrame, text: Column, markers: Sequence[str], *by: str) -
     return n.withColumn("rate", safe_rate(F.col("hits"), F.col("total")))
 
 
-def telemetry(df: DataFrame, speed: str, memory: str, *by: str) -> DataFrame:
-    """Per group: the number of runs, the median speed, the highest memory, rounded to two digits."""
-    return df.groupBy(*by).agg(F.count("*").alias("profiler_runs"), F.bround(F.median(speed), 2).alias("median_tps"), F.bround(F.max(memory), 2).alias("highest_peak_rss_mb"))
+def telemetry(df: DataFrame, speed: str, memory: str, *by: str, digits: int = 2) -> DataFrame:
+    """Per group: the number of runs, the median speed, the highest memory, rounded to ``digits``."""
+    return df.groupBy(*by).agg(F.count("*").alias("profiler_runs"), F.bround(F.median(speed), digits).alias("median_tps"), F.bround(F.max(memory), digits).alias("highest_peak_rss_mb"))
 
 
 def accuracy(rates: Mapping[str, Column]) -> Column:

@@ -585,11 +585,11 @@ def results(spark, d):
     return docs.select(
         "doc_id", F.col("source").alias("task_id"), F.col("lang").alias("language"), F.when(n > 800, "code").otherwise("explanation").alias("kind"),
         (F.col("quality") == 1).alias("technical_pass"), (F.col("toxic") == 0).alias("format_compliant"), F.endswith("text", F.lit(".")).alias("side_effect_free"), (n > 100).alias("language_adherent"),
-        (n / 1000).alias("inference_seconds"), F.when(n % 7 > 0, n % 100).alias("completion_tokens"), F.when(F.col("doc_id") % 50 == 0, "timeout").alias("error"), "text",
+        (n / 100).alias("inference_seconds"), F.when(n % 7 > 0, n % 100).alias("completion_tokens"), F.when(F.col("doc_id") % 50 == 0, "timeout").alias("error"), "text",
     )
 
 
-RESULTS = "SELECT doc_id, source AS task_id, lang AS language, CASE WHEN n_chars > 800 THEN 'code' ELSE 'explanation' END AS kind, quality = 1 AS ok, toxic = 0 AS fmt, text LIKE '%.' AS clean, n_chars > 100 AS adh, n_chars / 1000 AS sec, CASE WHEN n_chars % 7 > 0 THEN n_chars % 100 END AS tok, doc_id % 50 = 0 AS err, text FROM documents JOIN labels USING (doc_id)"
+RESULTS = "SELECT doc_id, source AS task_id, lang AS language, CASE WHEN n_chars > 800 THEN 'code' ELSE 'explanation' END AS kind, quality = 1 AS ok, toxic = 0 AS fmt, text LIKE '%.' AS clean, n_chars > 100 AS adh, n_chars / 100 AS sec, CASE WHEN n_chars % 7 > 0 THEN n_chars % 100 END AS tok, doc_id % 50 = 0 AS err, text FROM documents JOIN labels USING (doc_id)"
 
 
 def _rate(a: str, b: str) -> str:
@@ -634,11 +634,11 @@ def marker_rate(spark, d):
     return evaluation.marker_rate(results(spark, d), F.col("text"), ("###", "%%%"), "language")
 
 
-@query(f"WITH r AS ({RESULTS}) SELECT doc_id, language FROM r WHERE NOT err AND coalesce(sec >= 0.4, false) AND coalesce(ok, false) AND coalesce(coalesce(tok, 0) >= 1 AND sec / nullif(coalesce(tok, 0), 0) >= 0.05, false)")
+@query(f"WITH r AS ({RESULTS}) SELECT doc_id, language FROM r WHERE NOT err AND coalesce(sec >= 4, false) AND coalesce(ok, false) AND coalesce(coalesce(tok, 0) >= 1 AND sec / nullif(coalesce(tok, 0), 0) >= 0.5, false)")
 def score_thresholds(spark, d):
     rows = filters.without_errors(results(spark, d))
     tokens = F.coalesce("completion_tokens", F.lit(0))
-    return rows.where(filters.scores_pass({"inference_seconds": 0.4}, F.col("technical_pass")) & filters.ratio_at_least(F.col("inference_seconds"), tokens, 0.05)).select("doc_id", "language")
+    return rows.where(filters.scores_pass({"inference_seconds": 4.0}, F.col("technical_pass")) & filters.ratio_at_least(F.col("inference_seconds"), tokens, 0.5)).select("doc_id", "language")
 
 
 @query("SELECT count(*) AS keys, CAST(sum(q) AS BIGINT) AS c_nationkey, CAST(sum(b) AS BIGINT) AS orders FROM (SELECT o_custkey, arg_max(c_nationkey, o_orderkey) AS q, arg_max(o_orderkey % 10, o_orderkey) AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey)")
@@ -681,9 +681,10 @@ def repair_summary(spark, d):
     return evaluation.repair_summary(rows)
 
 
-@query("SELECT event_type, count(*) AS profiler_runs, round_even(median(value), 2) AS median_tps, round_even(max(value * 100), 2) AS highest_peak_rss_mb FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS profiler_runs, round_even(median(value), 4) AS median_tps, round_even(max(value * 100), 4) AS highest_peak_rss_mb FROM events GROUP BY event_type")
 def telemetry_rollup(spark, d):
-    return evaluation.telemetry(t(spark, d, "events").withColumn("rss", F.col("value") * 100), "value", "rss", "event_type")
+    # Values have two digits and medians at most three: no rounding to four is a tie, which engines break differently.
+    return evaluation.telemetry(t(spark, d, "events").withColumn("rss", F.col("value") * 100), "value", "rss", "event_type", digits=4)
 
 
 MODELS = "SELECT event_type AS label, 100 * (0.30 * avg(CAST(value > 10 AS INT)) + 0.25 * avg(CAST(value > 20 AS INT)) + 0.25 * avg(CAST(value > 30 AS INT)) + 0.20 * avg(CAST(user_id % 2 AS INT))) AS acc, CASE WHEN event_type <> 'view' THEN avg(value) END AS tps, CASE WHEN event_type <> 'view' THEN 10 * max(value) END AS rss FROM events GROUP BY event_type"
