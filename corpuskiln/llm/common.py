@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: The ASCII letters whose case the operators fold; other letters keep theirs.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Whether shuffle files go when the statement that wrote them ends; what is checkpointed no longer needs them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Text bytes that a Python worker holds in numpy form at once.
 CHUNK_BYTES = 2 << 20
 
@@ -37,7 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df from files in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        # The setting counts where the plan is made, so a new one is.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def lower_ascii(text: Column) -> Column:

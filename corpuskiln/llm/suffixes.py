@@ -46,24 +46,33 @@ _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Minima (or maxima) of x[i : i + width] for each i with a full window."""
+    """Minima (or maxima) of x[i : i + width], 32-bit, for each i with a full window."""
     op = np.minimum if least else np.maximum
     n = len(x) - width + 1
-    fill = np.uint64(0xFFFFFFFFFFFFFFFF if least else 0)
+    fill = np.array(0xFFFFFFFF if least else 0, x.dtype)
     blocks = np.concatenate([x, np.full(-len(x) % width, fill)]).reshape(-1, width)
     ahead = op.accumulate(blocks, axis=1).ravel()
     behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return op(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 1 to n at least of the hashes' base and of its inverse, kept for the next call."""
+    if len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.full(n + n // 4, b, np.uint64)) for b in (BASE, _INVERSE)]
+    return _powers[0], _powers[1]
+
+
 class Prefix:
     """Hashes of any data[a:b] by prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        power = np.cumprod(np.full(len(data) + 1, BASE, np.uint64))
-        self.inverse = np.cumprod(np.full(len(data) + 1, _INVERSE, np.uint64))
+        power, self.inverse = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * power[:-1], out=self.sums[1:])
+        np.cumsum(BYTE_VALUE[data] * power[: len(data)], out=self.sums[1:])
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
@@ -85,11 +94,13 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     np.add.at(valid, edge[:-1][long], 1)
     np.add.at(valid, edge[1:][long] - WINDOW + 1, -1)
     valid = np.cumsum(valid[: len(data) - WINDOW + 1]).astype(bool)
-    least = _slide(grams, REACH + 1, True)
+    # The upper halves order the anchors; equal ones are anchors alike.
+    order = (grams >> np.uint64(32)).astype(np.uint32)
+    least = _slide(order, REACH + 1, True)
     least[~valid] = 0
     # Place p is an anchor if a window that starts at p - REACH ... p has its hash as the least.
-    pad = np.zeros(REACH, np.uint64)
-    p = np.flatnonzero(_slide(np.r_[pad, least, pad], REACH + 1, False) == grams)
+    pad = np.zeros(REACH, np.uint32)
+    p = np.flatnonzero(_slide(np.r_[pad, least, pad], REACH + 1, False) == order)
     text = np.searchsorted(edge, p, "right") - 1
     a, b = np.maximum(p - REACH, edge[text]), np.minimum(p + WINDOW, edge[text + 1])
     # Where the anchor lies in its segment counts: two anchors of a short text may have the same segment.
