@@ -76,14 +76,17 @@ def contains_any(docs: DataFrame, text: str, passages: DataFrame, passage: str,
     """
     split = lambda c: F.split(c, r"\s+")
     named = passages.select(F.col(passage).alias("_p")).where(F.length("_p") > 0).distinct().withColumn("_w", split(F.col("_p")))
-    long = named.where(F.size("_w") >= shingle + 2).select("_p", F.array_join(F.slice("_w", 2, shingle), " ").alias("_s"))
+    long = named.where(F.size("_w") >= shingle + 2).select("_p", F.xxhash64(F.slice("_w", 2, shingle)).alias("_s"))
     short = named.where(F.size("_w") < shingle + 2).select("_p")
-    grams = F.expr(f"transform(sequence(1, size(_dw) - {shingle} + 1), i -> array_join(slice(_dw, i, {shingle}), ' '))")
-    keyed = docs.withColumn("_id", F.xxhash64(*docs.columns)).withColumn("_dw", split(F.col(text)))
-    shingled = keyed.select("_id", F.col(text).alias("_t"), F.explode_outer(F.when(F.size("_dw") >= shingle, F.array_distinct(grams))).alias("_s"))
-    hits = shingled.join(long, "_s").where(F.contains("_t", F.col("_p"))).select("_id")
+    keyed = docs.withColumn("_id", F.xxhash64(*docs.columns))
+    # Only ids and hashes of shingles are joined; the texts come back for the few candidates.
+    hashed = keyed.select("_id", split(F.col(text)).alias("_dw"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_dw") - shingle + 1), lambda i: F.xxhash64(F.slice("_dw", i, shingle)))
+    shingled = hashed.select("_id", F.explode_outer(F.when(F.size("_dw") >= shingle, grams)).alias("_s"))
+    candidates = shingled.join(long, "_s").select("_id", "_p").distinct().withColumnRenamed("_id", "_cid")
+    hits = keyed.join(candidates, F.col("_id") == F.col("_cid")).where(F.contains(F.col(text), F.col("_p"))).select("_id")
     direct = keyed.join(short, F.contains(F.col(text), F.col("_p")), "left_semi").select("_id")
-    return keyed.join(hits.unionByName(direct).distinct(), "_id", "left_semi").drop("_id", "_dw")
+    return keyed.join(hits.unionByName(direct).distinct(), "_id", "left_semi").drop("_id")
 
 
 def ranked_top(df: DataFrame, k: int, *order: Column) -> DataFrame:
