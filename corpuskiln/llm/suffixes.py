@@ -6,7 +6,8 @@ string has symbols and rewrites itself in each; over whole documents that is hop
 1. Anchors. In every 200-byte window the ``GRAM``-byte string of the least hash is an anchor; equal
    windows have the same anchors at the same places. An anchor's segment, what lies within a window's
    reach of it (``SEGMENT`` bytes at most), holds all windows around it.
-2. Anchors whose string occurs once are dropped. Segments that are equal as a whole are merged and counted: those
+2. Anchors whose string occurs once are dropped. So are, later, segments that share neither half of a window around their anchor
+   with another. Segments that are equal as a whole are merged and counted: those
    that occur more than once are removed wholly, and one of each goes on.
 3. The segments of the remaining anchors are dealt by anchor, so that equal windows meet. In each task the
    transform and the common prefixes of its segments are built column-wise, in sub-collections of bounded size: a
@@ -37,6 +38,8 @@ WINDOW, GRAM, SYMBOL = 200, 32, 40
 #: Bytes that a window reaches to the left of an anchor it holds.
 REACH = WINDOW - GRAM
 SEGMENT = REACH + WINDOW
+#: Every window has the anchor's HALF bytes before it or those after it.
+HALF = REACH // 2
 #: Different segments of one anchor above which its windows are counted instead.
 HOT_SEGMENTS = 5000
 #: Segments in one transform, unless one anchor has more.
@@ -78,13 +81,16 @@ class Prefix:
         return mixed((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash of the anchor, hash of its segment) of all anchors of the texts."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, place, hash of the anchor, hash of its segment, hashes of it with HALF bytes before and after) of all anchors of the texts.
+
+    The last two are 0 where the text has not so many bytes there.
+    """
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < WINDOW:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, *[none.astype(np.uint64)] * 4
     edge = np.r_[0, np.cumsum(sizes)]
     prefix = Prefix(data)
     place = np.arange(len(data) - GRAM + 1)
@@ -104,7 +110,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     text = np.searchsorted(edge, p, "right") - 1
     a, b = np.maximum(p - REACH, edge[text]), np.minimum(p + WINDOW, edge[text + 1])
     # Where the anchor lies in its segment counts: two anchors of a short text may have the same segment.
-    return text, p - edge[text], grams[p], mixed(prefix.hashes(a, b) + (p - a).astype(np.uint64))
+    segment = mixed(prefix.hashes(a, b) + (p - a).astype(np.uint64))
+    left = np.where(p - HALF >= a, prefix.hashes(np.maximum(p - HALF, 0), p + GRAM), np.uint64(0))
+    right = np.where(p + GRAM + HALF <= b, prefix.hashes(p, np.minimum(p + GRAM + HALF, len(data))), np.uint64(0))
+    return text, p - edge[text], grams[p], segment, left, right
 
 
 class Stream:
@@ -272,14 +281,14 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """(key, at, gram, segment) of the anchors of rows(key, text)."""
+    """(key, at, gram, segment, left, right) of the anchors of rows(key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, CHUNK_BYTES):
-            text, place, gram, segment = anchors(batch.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(segment.view(np.int64))], names=["key", "at", "gram", "segment"])
+            text, place, *hashes = anchors(batch.column("text").cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)), pa.array(place.astype(np.int32)), *[pa.array(h.view(np.int64)) for h in hashes]], names=["key", "at", "gram", "segment", "left", "right"])
 
-    return small_batches(rows).mapInArrow(run, "key binary, at int, gram long, segment long")
+    return small_batches(rows).mapInArrow(run, "key binary, at int, gram long, segment long, left long, right long")
 
 
 def _segment_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -372,15 +381,20 @@ def repeated_spans(docs: DataFrame, hot: int = HOT_SEGMENTS) -> DataFrame:
     found = _anchor_rows(rows)
     twice = found.groupBy("gram").count().where("count > 1").select("gram")
     occurring = checkpointed(found.join(twice, "gram"))
-    classes = occurring.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    per_gram = classes.groupBy("gram").agg(F.count("*").alias("classes"))
-    classes = checkpointed(classes.join(per_gram, "gram"))
+    classes = checkpointed(occurring.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"), F.max("left").alias("left"), F.max("right").alias("right")))
 
     end = F.col("at") + WINDOW
     whole = occurring.join(classes.where("n > 1").select("gram", "segment"), ["gram", "segment"])
     whole = whole.select("key", F.greatest(F.col("at") - REACH, F.lit(0)).alias("start"), end.alias("end")).distinct()
 
-    wanted = classes.where("classes > 1").select("gram", (F.col("n") > 1).alias("several"), (F.col("classes") > hot).alias("hot"), "one.key", "one.at")
+    # Two different segments can only share a window if they share a half of it around the anchor.
+    def sharing(half: str) -> DataFrame:
+        shared = classes.where(F.col(half) != 0).groupBy("gram", half).agg(F.count("*").alias("others")).where("others > 1")
+        return classes.join(shared, ["gram", half]).select("gram", "segment", "n", "one", (F.col("others") > hot).alias("hot"))
+
+    wanted = sharing("left").unionByName(sharing("right")).groupBy("gram", "segment").agg(F.max("n").alias("n"), F.min("one").alias("one"))
+    many = sharing("left").unionByName(sharing("right")).where("hot").select("gram").distinct().withColumn("hot", F.lit(True))
+    wanted = wanted.join(many, "gram", "left").select("gram", (F.col("n") > 1).alias("several"), F.coalesce("hot", F.lit(False)).alias("hot"), "one.key", "one.at")
     segments = checkpointed(_segment_rows(rows, wanted))
     return whole.unionByName(_sorted_spans(segments.where("NOT hot"))).unionByName(_counted_spans(segments.where("hot")))
 
