@@ -110,7 +110,7 @@ def require_none(violations: DataFrame, shown: int = 5) -> None:
 
 
 def checkpoint_checks(candidate_is_direct: Column, c: Mapping[str, Column], b: Mapping[str, Column], r: Mapping[str, Column], formats: Sequence[Column]) -> dict[str, Column]:
-    """Ten checks. c and b: the candidate's and the base's rates en, en_code, sw, sw_mix; r: repair rates."""
+    """Ten checks; their names are fixed values. c and b: the candidate's and the base's rates en, en_code, sw, sw_mix; r: repair rates."""
     return {
         "raw_model_only_evaluation": candidate_is_direct,
         "english_overall_not_below_base": c["en"] >= b["en"],
@@ -126,7 +126,7 @@ def checkpoint_checks(candidate_is_direct: Column, c: Mapping[str, Column], b: M
 
 
 def release_checks(candidate_is_direct: Column, c: Mapping[str, Column], b: Mapping[str, Column], r: Mapping[str, Column], formats: Sequence[Column], adherence: Mapping[str, Column], speed: Mapping[str, Column], memory: Mapping[str, Column]) -> dict[str, Column]:
-    """Fifteen checks, with the language adherence, speed and memory of candidate and base."""
+    """Fifteen checks, their names fixed values, with the language adherence, speed and memory of candidate and base."""
     return {
         "raw_model_only_evaluation": candidate_is_direct,
         "kiswahili_at_least_75_percent": c["sw"] >= 0.75,
