@@ -141,8 +141,13 @@ def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows of docs, all columns, with one row of each group: that of the smallest doc_id (null ids last)."""
+    return one_of_each(docs, groups(docs, bits))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, with one row of each root in grouped(doc_id, text_key, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    kept = groups(docs, bits).groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("n"))
+    kept = grouped.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("n"))
     kept = checkpointed(kept.select(F.col("w.doc_id").alias("_kept_id"), F.col("w.text_key").alias("_kept_text")))
     mine = docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs["text"]) == kept["_kept_text"])
     rows = docs.join(kept, mine, "left_semi")
