@@ -522,7 +522,7 @@ def jaccard_pairs(spark, d):
 
 @query()
 def paraphrase_pairs(spark, d):
-    return similarity.paraphrase_pairs(normalized(spark, d, "benchmark", "item_id"), "item_id", "words")
+    return similarity.paraphrase_pairs(normalized(spark, d), "doc_id", "words")
 
 
 @query()
@@ -530,7 +530,7 @@ def semantic_score(spark, d):
     half = F.expr("substring(text, 1, length(text) div 2)")
     a, b = X.ascii_tokens(F.col("text")), X.ascii_tokens(half)
     ratio = PY.sequence_ratio_udf(F.array_join(a, " "), F.array_join(b, " "))
-    return t(spark, d, "benchmark").select("item_id", F.bround((X.overlap_f1(a, b) + ratio) / 2, 4).alias("score"))
+    return t(spark, d, "documents").select("doc_id", F.bround((X.overlap_f1(a, b) + ratio) / 2, 4).alias("score"))
 
 
 @query(rf"WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```py' || chr(10) || substr(text, 1, 40) ELSE {FENCED} END AS answer FROM documents) SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') THEN regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```', 1) ELSE regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*)$', 1) END, '^\s+|\s+$', '', 'g') AS code, regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') AS closed FROM a")
