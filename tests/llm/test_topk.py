@@ -47,3 +47,31 @@ def test_query_equals_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     assert sorted(tuple(r) for r in topk.query(spark, sf).collect()) == sorted(con.sql(topk.SQL).fetchall())
+
+
+def test_bounds_prune_the_embeddings():
+    """Of the pairs of queries and rows, few get an exact score; the rows alone decide, so SQL's answer stays."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(os.environ.get("TESTDATA_DIR", "/root/testdata") + "/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
+    sound = [(i, v) for i, v in zip(t["vec_id"], t["embedding"]) if v and None not in v]
+    ids, v = np.array([i for i, _ in sound]), np.floor(64 * np.array([x for _, x in sound], np.float64))
+    own = ids % 20 == 0
+    compared: list = []
+    first = topk.best_pairs(ids[own], v[own], ids, v, 20)
+    least = np.array([first[2][first[0] == i].min() for i in range(own.sum())], float)
+    again = topk.best_pairs(ids[own], v[own], ids, v, 20, least, compared)
+    assert all((a == b).all() for a, b in zip(first, again))
+    pairs, exact = np.array(compared).sum(0)
+    print(f"exact scores for {exact / pairs:.3f} of the pairs")
+    assert exact < 0.2 * pairs
+
+
+def test_large_components_stay_exact():
+    ids = np.arange(6)
+    v = np.array([[2.0**31 + i, 2.0**30 - i, 1.0] for i in range(6)])
+    q, found, score = topk.best_pairs(ids[:1], v[:1], ids, v, 3)
+    want = sorted((-sum(int(a) * int(b) for a, b in zip(v[0], v[j])), j) for j in range(1, 6))[:3]
+    assert [(-s, j) for s, j in zip(score.tolist(), found.tolist())] == want
