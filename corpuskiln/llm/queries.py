@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_topk": topk.SQL,
+    "op7_suffixes": suffixes.SQL,
     "op10_decontamination": decontamination.SQL,
 }

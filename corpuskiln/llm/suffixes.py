@@ -1,24 +1,26 @@
 """Removal of repeated 200-byte strings with column-wise suffix sorting of many strings.
 
 A Burrows-Wheeler transform that is built a column at a time needs as many rounds as its longest
-string has symbols and rewrites itself in each; over whole documents that is hopeless. So:
+string has symbols, and every round goes over all strings; over whole documents that is hopeless. So:
 
 1. Anchors. In every 200-byte window the ``GRAM``-byte string of the least hash is an anchor; equal
    windows have the same anchors at the same places. An anchor's segment, what lies within a window's
    reach of it (``SEGMENT`` bytes at most), holds all windows around it.
-2. Anchors whose string occurs once are dropped. So are, later, segments that share neither half of a window around their anchor
-   with another. Segments that are equal as a whole are merged and counted: those
-   that occur more than once are removed wholly, and one of each goes on.
-3. The segments of the remaining anchors are dealt by anchor, so that equal windows meet. In each task the
-   transform and the common prefixes of its segments are built column-wise, in sub-collections of bounded size: a
-   round inserts one symbol of each string, and both go through sequential scratch files. A symbol is
-   40 bytes (by a 64-bit hash); a segment gives forty strings, one per phase, so that every window is a run of five
-   symbols and there are at most nine rounds. Neighbours with five common symbols are equal windows.
-4. Anchors with very many different segments (the edges of a passage that is everywhere) are not
-   gathered: their windows are hashed and counted with map-side aggregation.
-
-The scratch files are private to a running task and deleted when opened; a task that is lost is run
-again from its input.
+2. Anchors whose string occurs once are dropped. Segments that are equal as a whole (128 bits of hashes) form a class,
+   which goes on as one segment that knows whether it stands for several places.
+3. Every window has the ``HALF`` bytes before its anchor or those after it. A segment gives a piece for each half that
+   it shares with another class, or for both if it stands for several places. Pieces are dealt by anchor and half, their
+   core, so that equal windows meet and no frequent anchor comes to one task as a whole.
+4. A piece is ``HALF`` bytes left of its core, the core (one symbol), and ``HALF`` bytes right of it; a window is the core with x
+   bytes of the left and ``HALF`` - x of the right. The strings of a collection are aligned at their cores, so a round inserts one symbol of each,
+   the next to the left: the suffixes that begin there are brought in order from their order one symbol before, which gives a column of the transform
+   and its common prefixes. Suffixes with ``HALF`` + 1 common symbols begin with equal windows. Columns of symbols are
+   read one after the other from a sequential scratch file; the order and the common prefixes are all that a round keeps.
+5. What the transform finds for a class holds for all its places.
+
+The scratch file stays in memory up to ``SCRATCH`` bytes; beyond, it is private to the running task, like Spark's
+spill files, and a task that is lost is run again from its input. Pieces of one core are in one task: 168 bytes
+each in the scratch file and about 40 in memory, for each different surrounding that the core has.
 """
 
 from __future__ import annotations
@@ -34,16 +36,18 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, checkpointed, small_batches, table, text_chunks
 from .tokens import BASE, BYTE_VALUE, mixed
 
-WINDOW, GRAM, SYMBOL = 200, 32, 40
+WINDOW, GRAM = 200, 32
 #: Bytes that a window reaches to the left of an anchor it holds.
 REACH = WINDOW - GRAM
 SEGMENT = REACH + WINDOW
 #: Every window has the anchor's HALF bytes before it or those after it.
 HALF = REACH // 2
-#: Different segments of one anchor above which its windows are counted instead.
-HOT_SEGMENTS = 5000
-#: Segments in one transform, unless one anchor has more.
-COLLECTION = 3000
+#: A byte that UTF-8 does not have, for what lies outside the text.
+OUTSIDE = 0xFF
+#: Pieces in one transform, unless one core has more.
+COLLECTION = 50_000
+#: Bytes of a collection's columns that are held in memory.
+SCRATCH = 64 << 20
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -116,159 +120,69 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, p - edge[text], grams[p], segment, left, right
 
 
-class Stream:
-    """An array that lives in a sequential scratch file between rounds."""
+class Columns:
+    """The symbols of a collection, column by column, in a sequential scratch file."""
 
-    def __init__(self, dtype, start: np.ndarray):
-        self.dtype = np.dtype(dtype)
-        self.file, self.spare = tempfile.TemporaryFile(), tempfile.TemporaryFile()
-        self.size = 0
-        self.write(start)
+    def __init__(self, width: int):
+        self.width, self.blocks, self.size = width, [], 0
+        self.file = tempfile.SpooledTemporaryFile(max_size=SCRATCH)
 
-    def read(self) -> np.ndarray:
-        self.file.seek(0)
-        return np.fromfile(self.file, self.dtype, self.size)
+    def append(self, rows: np.ndarray) -> None:
+        """rows: one of ``width`` bytes per string."""
+        self.blocks.append((self.width * self.size, len(rows)))
+        self.file.write(np.ascontiguousarray(rows.T).tobytes())
+        self.size += len(rows)
 
-    def write(self, x: np.ndarray) -> None:
-        self.spare.seek(0)
-        self.spare.truncate()
-        x.astype(self.dtype, copy=False).tofile(self.spare)
-        self.spare.flush()
-        self.size = len(x)
-        self.file, self.spare = self.spare, self.file
+    def read(self, column: int) -> np.ndarray:
+        out = np.empty(self.size, np.uint8)
+        at = 0
+        for start, n in self.blocks:
+            self.file.seek(start + column * n)
+            out[at : at + n] = np.frombuffer(self.file.read(n), np.uint8)
+            at += n
+        return out
 
     def close(self) -> None:
         self.file.close()
-        self.spare.close()
-
-
-class RangeMinimum:
-    """Minima of x[l..r], with blocks of 16 and a sparse table over these."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = np.r_[x, np.full(-len(x) % 16 + 16, 255, np.uint8)]
-        blocks = self.x.reshape(-1, 16)
-        self.ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        self.behind = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).ravel()
-        self.levels = [blocks.min(1)]
-        while 1 << len(self.levels) <= len(blocks):
-            y, half = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(y[:-half], y[half:]))
-
-    def query(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:
-        out = np.minimum(self.behind[l], self.ahead[r])
-        first, last = l >> 4, r >> 4
-        same = np.flatnonzero(first == last)
-        if len(same):
-            at = l[same][:, None] + np.arange(16)
-            out[same] = np.where(at <= r[same][:, None], self.x[at], 255).min(1)
-        inner = last - first - 1
-        some = np.flatnonzero(inner > 0)
-        level = np.frexp(inner[some])[1] - 1
-        for k in np.unique(level):
-            which = some[level == k]
-            y = self.levels[k]
-            out[which] = np.minimum(out[which], np.minimum(y[first[which] + 1], y[last[which] - (1 << k)]))
-        return out
 
 
-def column_sort(strings: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The collection's transform: (string * (width + 1) + place of each suffix, BWT symbol, common prefix with the one before).
+def insert_column(order: np.ndarray, common: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings' suffixes, and their common prefixes, after a symbol went before each.
 
-    strings: a row of symbols (below 2**31) per string, sizes: how many of them count. Round j inserts each
-    string's suffix of j symbols: its symbol in the transform, at the place of the suffix of j - 1 symbols, and
-    the symbols equal to it before that place give the new place. Common prefixes count to ``most``.
+    order: strings by the suffix so far; common[i]: symbols that it shares with the one before; symbols: one per
+    string. Equal symbols keep the order of what follows them; between two neighbours with the same one the common
+    prefix is the least on the way from one to the other, and one more.
     """
-    n, stride = strings.shape[0], strings.shape[1] + 1
-    # Suffixes in order. key: first symbol and rank of the rest; the empty ones come first.
-    key = np.arange(n, dtype=np.int64) - (np.int64(1) << 32)
-    owner = np.arange(n, dtype=np.int64) * stride + sizes
-    place = np.arange(n)
-    last = np.where(sizes > 0, strings[np.arange(n), np.maximum(sizes - 1, 0)], -1)
-    bwt, lcp = Stream(np.int32, last), Stream(np.uint8, np.zeros(n, np.uint8))
-    for j in range(1, int(sizes.max(initial=0)) + 1):
-        active = np.flatnonzero(sizes >= j)
-        old_bwt, old_lcp = bwt.read(), lcp.read()
-        new_key = (old_bwt[place[active]].astype(np.int64) << 32) | place[active]
-        order = np.argsort(new_key)
-        active, new_key = active[order], new_key[order]
-        at = np.searchsorted(key, new_key)
-        moved = np.arange(len(key)) + np.cumsum(np.bincount(at, minlength=len(key) + 1))[: len(key)]
-        new = at + np.arange(len(at))
-        size = len(key) + len(new)
-
-        merged = np.empty(size, np.int64)
-        merged[moved], merged[new] = key, new_key
-        # Common prefixes of the new ones with those before, and of those after with the new ones.
-        low = RangeMinimum(old_lcp)
-        prefix = np.empty(size, np.uint8)
-        prefix[moved] = old_lcp
-        is_new = np.zeros(size + 1, bool)
-        is_new[new] = True
-        after = new + 1
-        after = after[(after < size) & ~is_new[np.minimum(after, size)]]
-        changed = np.r_[new[new > 0], after]
-        one, two = merged[changed - 1], merged[changed]
-        equal = (one >> 32 == two >> 32) & (two >= 0)
-        prefix[changed] = 0
-        l, r = (one[equal] & 0xFFFFFFFF) + 1, two[equal] & 0xFFFFFFFF
-        prefix[changed[equal]] = np.minimum(low.query(l, r).astype(np.int64) + 1, most)
-        if len(new) and new[0] == 0:
-            prefix[0] = 0
-        # Ranks of the rests as they are now.
-        real = merged >= 0
-        rest = merged[real] & 0xFFFFFFFF
-        merged[real] += moved[rest] - rest
-
-        left = sizes[active] - j
-        symbol = np.where(left > 0, strings[active, np.maximum(left - 1, 0)], -1)
-        grown = np.empty(size, np.int32)
-        grown[moved], grown[new] = old_bwt, symbol
-        named = np.empty(size, np.int64)
-        named[moved], named[new] = owner, active * stride + left
-        place = moved[place]
-        place[active] = new
-        key, owner = merged, named
-        bwt.write(grown)
-        lcp.write(prefix)
-    result = owner, bwt.read(), lcp.read()
-    bwt.close()
-    lcp.close()
-    return result
-
-
-def repeated_windows(segments: list[bytes], text: np.ndarray, start: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of the windows that also start elsewhere among the segments.
-
-    Segment i starts at byte start[i] of text number text[i]; several[i]: whether it stands for more than one place.
+    column = symbols[order]
+    moved = np.argsort(column, kind="stable")
+    column = column[moved]
+    least = np.minimum.reduceat(np.append(common, 255).astype(np.uint8), moved + 1)
+    grown = np.zeros(len(order), np.uint8)
+    grown[1:] = np.where(column[1:] == column[:-1], least[:-1] + 1, 0)
+    return order[moved], grown
+
+
+def repeated_windows(columns: Columns, core: np.ndarray, left: np.ndarray, right: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) x per piece, such that the window with x bytes left of the core also starts elsewhere; (0, -1) if none does.
+
+    columns: 2 * HALF bytes per piece, in order of the text; core: its number; left, right: how many of the bytes
+    lie in the text; several: whether the piece stands for more than one place.
     """
-    sizes = np.array([len(s) for s in segments])
-    edge = np.r_[0, np.cumsum(sizes)]
-    data = np.frombuffer(b"".join(segments) + bytes(SYMBOL), np.uint8)
-    every = np.arange(edge[-1])
-    _, rank = np.unique(Prefix(data).hashes(every, every + SYMBOL), return_inverse=True)
-    width = SEGMENT // SYMBOL
-    count = ((sizes[:, None] - np.arange(SYMBOL)) // SYMBOL).ravel()
-    first = (edge[:-1, None] + np.arange(SYMBOL)).ravel()
-    at = first[:, None] + np.arange(width) * SYMBOL
-    strings = rank.ravel()[np.minimum(at, edge[-1] - 1)].astype(np.int32)
-    need = WINDOW // SYMBOL
-    owner, _, lcp = column_sort(strings, count, need)
-    # Runs of neighbours that share a window's length; places tell whether a run has two different ones.
-    run = np.cumsum(lcp < need) - 1
-    row, place = np.divmod(owner, width + 1)
-    whole = place + need <= count[row]
-    row, place, run = row[whole], place[whole], run[whole]
-    segment, phase = np.divmod(row, SYMBOL)
-    offset = place * SYMBOL + phase
-    where = (text[segment].astype(np.int64) << 32) + start[segment] + offset
-    total = int(run.max(initial=-1)) + 1
-    low, high, more = np.full(total, np.iinfo(np.int64).max), np.full(total, -1), np.zeros(total, bool)
-    np.minimum.at(low, run, where)
-    np.maximum.at(high, run, where)
-    np.logical_or.at(more, run, several[segment])
-    again = ((low < high) | more)[run]
-    return segment[again], offset[again]
+    n = len(core)
+    order, common = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
+    least, most = np.zeros(n, np.int16), np.full(n, -1, np.int16)
+    for c in range(2 * HALF - 1, HALF - 1, -1):
+        order, common = insert_column(order, common, columns.read(c))
+    for x in range(HALF + 1):
+        order, common = insert_column(order, common, columns.read(HALF - x) if x else core)
+        same = common > HALF
+        again = same | several[order]
+        again[:-1] |= same[1:]
+        found = order[again]
+        found = found[(left[found] >= x) & (right[found] >= HALF - x)]
+        least[found[most[found] < 0]] = x
+        most[found] = x
+    return least, most
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -281,127 +195,168 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """(key, at, gram, segment, left, right) of the anchors of rows(key, text)."""
+    """(key, at, gram, segment, left, right) of the anchors of rows(key, text).
+
+    Of a text that a task meets more than twice, two copies give rows: more say nothing more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, int] = {}
         for batch in text_chunks(batches, CHUNK_BYTES):
+            keys = batch.column("key").to_pylist()
+            wanted = []
+            for i, key in enumerate(keys):
+                met[key] = met.get(key, 0) + 1
+                if met[key] <= 2:
+                    wanted.append(i)
+            if not wanted:
+                continue
+            batch = batch.take(pa.array(wanted))
             text, place, *hashes = anchors(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)), pa.array(place.astype(np.int32)), *[pa.array(h.view(np.int64)) for h in hashes]], names=["key", "at", "gram", "segment", "left", "right"])
 
     return small_batches(rows).mapInArrow(run, "key binary, at int, gram long, segment long, left long, right long")
 
 
-def _segment_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, several, hot, key, start, bytes): the segments of the wanted anchors, cut from the texts."""
-    places = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "gram", "several", "hot")).alias("places"))
-    joined = rows.join(places.withColumnRenamed("key", "_key"), rows["key"] == F.col("_key")).drop("_key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "several", "hot", "key", "start", "bytes"]
-        types = [pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()]
-        for batch in text_chunks(batches, CHUNK_BYTES):
-            out: list[list] = [[] for _ in names]
-            for key, text, places in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()):
-                for p in places:
-                    start = max(p["at"] - REACH, 0)
-                    for column, x in zip(out, (p["gram"], p["several"], p["hot"], key, start, text[start : p["at"] + WINDOW])):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
-
-    return small_batches(joined).mapInArrow(run, "gram long, several boolean, hot boolean, key binary, start int, bytes binary")
-
-
-def _sorted_spans(segments: DataFrame) -> DataFrame:
-    """(key, start, end) of repeated windows among the segments, by column-wise sorting in each task."""
-    dealt = segments.select("gram", "several", "key", "start", "bytes").repartition("gram").sortWithinPartitions("gram")
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        numbers: dict[bytes, int] = {}
-        text = np.array([numbers.setdefault(r[2], len(numbers)) for r in rows])
-        start = np.array([r[3] for r in rows])
-        segment, offset = repeated_windows([r[4] for r in rows], text, start, np.array([r[1] for r in rows]))
-        keys, a, b = [], [], []
-        order = np.lexsort((offset, segment))
-        segment, offset = segment[order], offset[order]
-        for i, own in zip(np.unique(segment), np.split(offset, np.flatnonzero(np.diff(segment)) + 1)):
-            for x, y in _merged(own, own + WINDOW):
-                keys.append(rows[i][2])
-                a.append(int(start[i]) + x)
-                b.append(int(start[i]) + y)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["key", "start", "end"])
+def _once_a_task(rows: DataFrame) -> DataFrame:
+    """rows(key, text) without further copies of a text that its task has met, so that few copies are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        met: set[bytes] = set()
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= COLLECTION and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield solve(held)
+            keys = batch.column("key").to_pylist()
+            new = [not (k in met or met.add(k)) for k in keys]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return small_batches(rows).mapInArrow(run, "key binary, text string")
 
-    return dealt.mapInArrow(run, "key binary, start int, end int")
 
+PIECE = "gram long, half long, after boolean, segment long, several boolean, key binary, at int, before int, behind int, bytes binary"
 
-def _counted_spans(segments: DataFrame) -> DataFrame:
-    """(key, start, end) of repeated windows, by counting window hashes; for anchors with very many segments."""
+
+def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pieces of the wanted (key, at, gram, segment, several, after, half), cut from the texts of rows(key, text)."""
+    places = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "gram", "segment", "several", "after", "half")).alias("places"))
+    joined = _once_a_task(rows).join(places, F.col("key") == F.col("_key")).drop("_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in text_chunks(batches, CHUNK_BYTES):
+            # Copies of a text follow each other.
+            keys = batch.column("key").to_pylist()
+            new = [k != before for k, before in zip(keys, [last, *keys])]
+            last = keys[-1]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sizes = np.array([len(t) for t in texts], np.int64)
+            data = np.frombuffer(b"".join([*texts, b"\xff"]), np.uint8)
+            lists = batch.column("places")
+            text = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+            place = lists.flatten()
+            at, after = np.asarray(place.field("at")).astype(np.int64), place.field("after").to_numpy(zero_copy_only=False)
+            edge = np.cumsum(sizes) - sizes
+            core = np.where(after, at, at - HALF)
+            begin, end = core - HALF, core + GRAM + HALF
+            offsets = np.arange(HALF)
+            inside = np.c_[begin[:, None] + offsets, end[:, None] + offsets]
+            outside = (inside < 0) | (inside >= sizes[text][:, None])
+            cut = data[np.where(outside, len(data) - 1, inside + edge[text][:, None])]
+            stride = np.arange(len(at) + 1, dtype=np.int32) * (2 * HALF)
+            made = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(stride), pa.py_buffer(np.ascontiguousarray(cut))])
+            columns = [place.field("gram"), place.field("half"), place.field("after"), place.field("segment"), place.field("several"), batch.column("key").take(pa.array(text)), place.field("at")]
+            before, behind = np.clip(core, 0, HALF), np.clip(sizes[text] - end, 0, HALF)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before.astype(np.int32)), pa.array(behind.astype(np.int32)), made], names=[x.split()[0] for x in PIECE.split(", ")])
+
+    return small_batches(joined).mapInArrow(run, PIECE)
+
+
+def _decided(pieces: DataFrame) -> DataFrame:
+    """(gram, segment, several, key, at, lo, hi): the bytes around ``at`` that repeated windows cover, by column-wise sorting in each task."""
+    deal = ["gram", "half", "after"]
+    dealt = pieces.repartition(*deal).sortWithinPartitions(*deal)
+    kept = ["gram", "segment", "several", "key", "at"]
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: rows.column(name).chunk(0).to_numpy(zero_copy_only=False)
+        gram, half, after = (column(c) for c in deal)
+        changed = (gram[1:] != gram[:-1]) | (half[1:] != half[:-1]) | (after[1:] != after[:-1])
+        core = np.r_[0, np.cumsum(changed)].astype(np.int32)
+        columns = Columns(2 * HALF)
+        for batch in held:
+            made = batch.column("bytes")
+            columns.append(np.frombuffer(b"".join(made.to_pylist()), np.uint8).reshape(-1, 2 * HALF))
+        least, most = repeated_windows(columns, core, column("before"), column("behind"), column("several"))
+        columns.close()
+        found = np.flatnonzero(most >= 0)
+        start = np.where(after, 0, -HALF)[found]
+        lo, hi = start - most[found], start - least[found] + WINDOW
+        own = rows.select(kept).take(pa.array(found)).combine_chunks().to_batches()
+        own = own[0].columns if own else [pa.array([], rows.schema.field(c).type) for c in kept]
+        return pa.RecordBatch.from_arrays([*own, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=[*kept, "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            data = batch.column("bytes").to_pylist()
-            sizes = np.array([len(x) for x in data], np.int64)
-            edge = np.r_[0, np.cumsum(sizes)]
-            both = np.frombuffer(b"".join(data), np.uint8)
-            count = np.maximum(sizes - WINDOW + 1, 0)
-            row = np.repeat(np.arange(len(data)), count)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            at = edge[row] + offset
-            columns = [batch.column("key").take(pa.array(row)), batch.column("several").take(pa.array(row))]
-            start = pa.array((np.asarray(batch.column("start"))[row] + offset).astype(np.int32))
-            hashes = [Prefix(both).hashes(at, at + WINDOW), Prefix(both ^ np.uint8(0x5A)).hashes(at, at + WINDOW)] if len(row) else [np.zeros(0, np.uint64)] * 2
-            yield pa.RecordBatch.from_arrays([*columns, start, *[pa.array(h.view(np.int64)) for h in hashes]], names=["key", "several", "start", "h1", "h2"])
-
-    windows = segments.select("key", "several", "start", "bytes").mapInArrow(run, "key binary, several boolean, start int, h1 long, h2 long")
-    where = F.struct("key", "start")
-    again = windows.groupBy("h1", "h2").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.max("several").alias("several")).where("low <> high OR several").select("h1", "h2")
-    return windows.join(again, ["h1", "h2"]).select("key", "start", (F.col("start") + WINDOW).alias("end"))
+            if not batch.num_rows:
+                continue
+            if size >= COLLECTION:
+                # The rows of the core that goes on stay with it.
+                same = np.ones(batch.num_rows, bool)
+                for c in deal:
+                    same &= batch.column(c).to_numpy(zero_copy_only=False) == held[-1].column(c)[-1].as_py()
+                more = int(np.argmin(same)) if not same.all() else batch.num_rows
+                if more:
+                    held.append(batch.slice(0, more))
+                    size += more
+                    batch = batch.slice(more)
+                if not batch.num_rows:
+                    continue
+                yield solve(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield solve(held)
+
+    return dealt.mapInArrow(run, "gram long, segment long, several boolean, key binary, at int, lo int, hi int")
 
 
 def text_key() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT_SEGMENTS) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, start, end) for the texts of docs(text): key is the MD5 of the text, the spans cover what is repeated.
 
-    Rows with equal texts share a key; their spans are the same.
+    Rows with equal texts share a key; their spans are the same. Spans may come twice, and reach past the text's ends.
     """
     rows = docs.where(F.octet_length("text") >= WINDOW).select(text_key().alias("key"), "text")
     found = _anchor_rows(rows)
     twice = found.groupBy("gram").count().where("count > 1").select("gram")
     occurring = checkpointed(found.join(twice, "gram"))
-    classes = checkpointed(occurring.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"), F.max("left").alias("left"), F.max("right").alias("right")))
-
-    end = F.col("at") + WINDOW
-    whole = occurring.join(classes.where("n > 1").select("gram", "segment"), ["gram", "segment"])
-    whole = whole.select("key", F.greatest(F.col("at") - REACH, F.lit(0)).alias("start"), end.alias("end")).distinct()
+    classes = checkpointed(occurring.groupBy("gram", "segment").agg((F.count("*") > 1).alias("several"), F.min(F.struct("key", "at")).alias("one"), F.max("left").alias("left"), F.max("right").alias("right")))
 
     # Two different segments can only share a window if they share a half of it around the anchor.
-    def sharing(half: str) -> DataFrame:
-        shared = classes.where(F.col(half) != 0).groupBy("gram", half).agg(F.count("*").alias("others")).where("others > 1")
-        return classes.join(shared, ["gram", half]).select("gram", "segment", "n", "one", (F.col("others") > hot).alias("hot"))
-
-    wanted = sharing("left").unionByName(sharing("right")).groupBy("gram", "segment").agg(F.max("n").alias("n"), F.min("one").alias("one"))
-    many = sharing("left").unionByName(sharing("right")).where("hot").select("gram").distinct().withColumn("hot", F.lit(True))
-    wanted = wanted.join(many, "gram", "left").select("gram", (F.col("n") > 1).alias("several"), F.coalesce("hot", F.lit(False)).alias("hot"), "one.key", "one.at")
-    segments = checkpointed(_segment_rows(rows, wanted))
-    return whole.unionByName(_sorted_spans(segments.where("NOT hot"))).unionByName(_counted_spans(segments.where("hot")))
-
-
-def _with_spans(docs: DataFrame, hot: int) -> DataFrame:
-    """docs(doc_id, text) with ``spans``, the repeated byte ranges of the text (may overlap, may reach past its end)."""
-    spans = repeated_spans(docs, hot).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    halves = F.array(*[F.struct(F.lit(after).alias("after"), F.col(c).alias("half")) for after, c in ((False, "left"), (True, "right"))])
+    halves = classes.select("gram", "segment", "several", "one.key", "one.at", F.explode(halves).alias("h")).select("gram", "segment", "several", "key", "at", "h.after", "h.half").where("half <> 0")
+    shared = halves.groupBy("gram", "after", "half").agg(F.count("*").alias("others")).where("others > 1")
+    wanted = halves.join(shared, ["gram", "after", "half"], "left").where("several OR others IS NOT NULL").drop("others")
+    decided = checkpointed(_decided(_pieces(rows, wanted)))
+
+    span = [(F.col("at") + F.col(c)).alias(name) for c, name in (("lo", "start"), ("hi", "end"))]
+    single = decided.where("NOT several").select("key", *span)
+    spread = decided.where("several").select("gram", "segment", "lo", "hi").join(occurring.select("gram", "segment", "key", "at"), ["gram", "segment"])
+    return single.unionByName(spread.select("key", *span))
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with ``spans``, the repeated byte ranges of the text (may overlap)."""
+    # Sets, not lists: each copy of a text names the same spans.
+    spans = repeated_spans(docs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     rows = docs.withColumn("key", F.coalesce(text_key(), F.lit(b"")))
     return rows.join(spans.withColumnRenamed("key", "_key"), rows["key"] == F.col("_key"), "left").drop("key", "_key")
 
@@ -410,7 +365,7 @@ def kept_bytes(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple
     """The text without the spans, and the spans as maximal runs."""
     if not spans:
         return text, []
-    runs = _merged(np.array([s["start"] for s in spans]), np.minimum([s["end"] for s in spans], len(text)))
+    runs = _merged(np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
     out, at = [], 0
     for a, b in runs:
         out.append(text[at:a])
@@ -418,12 +373,13 @@ def kept_bytes(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple
     return b"".join([*out, text[at:]]), runs
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, kept (the remaining bytes), spans removed, n_bytes.
 
     Each byte that a repeated 200-byte string covers goes; strings are judged on the input, within
     documents. A null text counts as empty; null ids are kept; repeated rows repeat each other and
-    lose all windows; texts under 200 bytes stay as they are.
+    lose all windows; texts under 200 bytes stay as they are; an empty table gives an empty result. A text is taken
+    whole, in one task, with arrays of about 60 times its size while its anchors are found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,9 +390,32 @@ def remove_repeats(docs: DataFrame, hot: int = HOT_SEGMENTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for k, _ in done], pa.binary()), runs, pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "kept", "spans", "n_bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return small_batches(_with_spans(rows, hot)).mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:int,end:int>>, n_bytes long")
+    return small_batches(_with_spans(rows)).mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:int,end:int>>, n_bytes long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)
+), hit AS (
+  SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM (
+    SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+      SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit))
+  GROUP BY r, g
+), parts AS (
+  SELECT r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0))) AS x FROM runs JOIN d USING (r)
+), kept AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(x, '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS x FROM parts JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
