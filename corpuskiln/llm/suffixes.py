@@ -231,12 +231,11 @@ def _once_a_task(rows: DataFrame) -> DataFrame:
     return small_batches(rows).mapInArrow(run, "key binary, text string")
 
 
-PIECE = "gram long, half long, after boolean, segment long, several boolean, key binary, at int, before int, behind int, bytes binary"
+PIECE = "gram long, half long, after boolean, segment long, several boolean, before int, behind int, bytes binary"
 
 
-def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The pieces of the wanted (key, at, gram, segment, several, after, half), cut from the texts of rows(key, text)."""
-    places = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "gram", "segment", "several", "after", "half")).alias("places"))
+def _pieces(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The pieces at the places (_key, array of (at, gram, segment, several, after, half)), cut from the texts of rows(key, text)."""
     joined = _once_a_task(rows).join(places, F.col("key") == F.col("_key")).drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +264,7 @@ def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             cut = data[np.where(outside, len(data) - 1, inside + edge[text][:, None])]
             stride = np.arange(len(at) + 1, dtype=np.int32) * (2 * HALF)
             made = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(stride), pa.py_buffer(np.ascontiguousarray(cut))])
-            columns = [place.field("gram"), place.field("half"), place.field("after"), place.field("segment"), place.field("several"), batch.column("key").take(pa.array(text)), place.field("at")]
+            columns = [place.field("gram"), place.field("half"), place.field("after"), place.field("segment"), place.field("several")]
             before, behind = np.clip(core, 0, HALF), np.clip(sizes[text] - end, 0, HALF)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before.astype(np.int32)), pa.array(behind.astype(np.int32)), made], names=[x.split()[0] for x in PIECE.split(", ")])
 
@@ -273,10 +272,10 @@ def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _decided(pieces: DataFrame) -> DataFrame:
-    """(gram, segment, several, key, at, lo, hi): the bytes around ``at`` that repeated windows cover, by column-wise sorting in each task."""
+    """(gram, segment, lo, hi): the bytes around the anchor that repeated windows cover, by column-wise sorting in each task."""
     deal = ["gram", "half", "after"]
     dealt = pieces.repartition(*deal).sortWithinPartitions(*deal)
-    kept = ["gram", "segment", "several", "key", "at"]
+    kept = ["gram", "segment"]
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -322,7 +321,7 @@ def _decided(pieces: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return dealt.mapInArrow(run, "gram long, segment long, several boolean, key binary, at int, lo int, hi int")
+    return dealt.mapInArrow(run, "gram long, segment long, lo int, hi int")
 
 
 def text_key() -> Column:
@@ -345,12 +344,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     halves = classes.select("gram", "segment", "several", "one.key", "one.at", F.explode(halves).alias("h")).select("gram", "segment", "several", "key", "at", "h.after", "h.half").where("half <> 0")
     shared = halves.groupBy("gram", "after", "half").agg(F.count("*").alias("others")).where("others > 1")
     wanted = halves.join(shared, ["gram", "after", "half"], "left").where("several OR others IS NOT NULL").drop("others")
-    decided = checkpointed(_decided(_pieces(rows, wanted)))
-
-    span = [(F.col("at") + F.col(c)).alias(name) for c, name in (("lo", "start"), ("hi", "end"))]
-    single = decided.where("NOT several").select("key", *span)
-    spread = decided.where("several").select("gram", "segment", "lo", "hi").join(occurring.select("gram", "segment", "key", "at"), ["gram", "segment"])
-    return single.unionByName(spread.select("key", *span))
+    places = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "gram", "segment", "several", "after", "half")).alias("places"))
+    decided = checkpointed(_decided(_pieces(rows, checkpointed(places))))
+    spread = decided.join(occurring.select("gram", "segment", "key", "at"), ["gram", "segment"])
+    return spread.select("key", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi")).alias("end"))
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
