@@ -335,7 +335,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     rows = docs.where(F.octet_length("text") >= WINDOW).select(text_key().alias("key"), "text")
     found = _anchor_rows(rows)
-    twice = found.groupBy("gram").count().where("count > 1").select("gram")
+    # Written, so that Spark may split the rows of a frequent anchor in the join.
+    twice = checkpointed(found.groupBy("gram").count().where("count > 1").select("gram"))
     occurring = checkpointed(found.join(twice, "gram"))
     classes = checkpointed(occurring.groupBy("gram", "segment").agg((F.count("*") > 1).alias("several"), F.min(F.struct("key", "at")).alias("one"), F.max("left").alias("left"), F.max("right").alias("right")))
 
