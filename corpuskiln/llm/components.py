@@ -22,8 +22,8 @@ def _contract(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of edges (a, b) that is not itself the least node of its component.
 
-    The minima are taken with map-side aggregation and joined back, so a hub is never gathered in
-    one task; each round ends in the shared folder, which cuts the lineage. Only a count and a
+    The minima are taken with map-side aggregation and joined back; a hub's edges are rows of the join, which may
+    lie in one task but are never held together. Each round ends in the shared folder, which cuts the lineage. Only a count and a
     checksum of the edges come to the driver.
     """
     current = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())

@@ -23,7 +23,10 @@ from .components import components
 SEED = 42
 SHINGLE = 3
 BITS = 3
-BLOCKS, SAME = 6, 3
+#: Equal blocks that make a key; there are as many more as bits may differ.
+SAME = 3
+#: Fingerprints of a key that are compared with each other as they are.
+PLAIN = 1024
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE) -> list[int]:
@@ -61,8 +64,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return small_batches(rows).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def masks(blocks: int = BLOCKS, same: int = SAME) -> list[int]:
-    """For each choice of ``same`` blocks, the mask of their bits as a signed long."""
+def masks(bits: int = BITS, same: int = SAME) -> list[int]:
+    """For each choice of ``same`` of ``bits`` + ``same`` blocks, the mask of their bits as a signed long."""
+    blocks = bits + same
     edge = [64 * i // blocks for i in range(blocks + 1)]
     block = [((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in range(blocks)]
     made = [sum(block[i] for i in c) for c in combinations(range(blocks), same)]
@@ -85,6 +89,21 @@ def stars(fps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
                 todo.extend(found)
 
 
+def split_stars(fps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """As ``stars``; many fingerprints are compared only where one of bits + 1 parts of the bits in which they vary is equal."""
+    varying = [b for b in range(64) if int(np.bitwise_or.reduce(fps ^ fps[0])) >> b & 1]
+    if len(fps) <= PLAIN or len(varying) <= bits:
+        yield from stars(fps, bits)
+        return
+    for part in np.array_split(varying, bits + 1):
+        own = fps & np.uint64(sum(1 << int(b) for b in part))
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+        for a, b in zip(first, [*first[1:], len(fps)]):
+            if b - a > 1:
+                yield from stars(fps[order[a:b]], bits)
+
+
 def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges among rows sorted by key."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -93,7 +112,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np
     two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= bits]
     a, b = [fps[two]], [fps[two + 1]]
     for at, n in zip(first[size > 2], size[size > 2]):
-        for root, found in stars(fps[at : at + n], bits):
+        for root, found in split_stars(fps[at : at + n], bits):
             a.append(np.full(len(found), root))
             b.append(found)
     return np.concatenate(a), np.concatenate(b)
@@ -101,21 +120,25 @@ def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fp``; linked sets within a key come as stars."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks())])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(bits))])
     dealt = distinct.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            keys = np.r_[keys, np.asarray(batch.column("key"))]
-            fps = np.r_[fps, np.asarray(batch.column("fp")).view(np.uint64)]
-            if len(keys) < 1 << 16 or keys[0] == keys[-1]:
+            if not batch.num_rows:
+                continue
+            held.append((np.asarray(batch.column("key")), np.asarray(batch.column("fp")).view(np.uint64)))
+            size += batch.num_rows
+            if size < 1 << 16 or held[0][0][0] == held[-1][0][-1]:
                 continue
+            keys, fps = (np.concatenate(x) for x in zip(*held))
             last = int(np.searchsorted(keys, keys[-1]))
             yield out(*_links(keys[:last], fps[:last], bits))
-            keys, fps = keys[last:], fps[last:]
-        if len(keys):
-            yield out(*_links(keys, fps, bits))
+            held, size = [(keys[last:], fps[last:])], len(keys) - last
+        if held:
+            yield out(*_links(*(np.concatenate(x) for x in zip(*held)), bits))
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -145,20 +168,25 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, with one row of each root in grouped(doc_id, text_key, root)."""
+    """The rows of docs, all columns, with one row of each root in grouped(doc_id, text_key, root).
+
+    It is that of the smallest doc_id (null ids last), then of the smallest text key; of rows that share
+    both, the one whose columns, written as JSON, come first. Column names of docs may be any.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     kept = grouped.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("n"))
-    kept = checkpointed(kept.select(F.col("w.doc_id").alias("_kept_id"), F.col("w.text_key").alias("_kept_text")))
-    mine = docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs["text"]) == kept["_kept_text"])
+    id_name, text_name = free_name(docs, "_kept_id"), free_name(docs, "_kept_text")
+    kept = checkpointed(kept.select(F.col("w.doc_id").alias(id_name), F.col("w.text_key").alias(text_name)))
+    mine = docs["doc_id"].cast("long").eqNullSafe(kept[id_name]) & (F.xxhash64(docs["text"]) == kept[text_name])
     rows = docs.join(kept, mine, "left_semi")
     # Rows that share doc_id and text with a kept one: only these are compared as whole rows.
-    key = [F.col("doc_id").alias("_again_id"), F.xxhash64("text").alias("_again_text")]
-    again = checkpointed(rows.select(*key).groupBy("_again_id", "_again_text").count().where("count > 1").drop("count"))
+    key = [F.col("doc_id").cast("long").alias(id_name), F.xxhash64("text").alias(text_name)]
+    again = checkpointed(rows.select(*key).groupBy(id_name, text_name).count().where("count > 1").select(id_name, text_name))
     if again.isEmpty():
         return rows
-    same = rows["doc_id"].eqNullSafe(again["_again_id"]) & (F.xxhash64(rows["text"]) == again["_again_text"])
-    name = free_name(docs, "_text_key")
-    once = rows.join(again, same, "left_semi").withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
+    same = rows["doc_id"].cast("long").eqNullSafe(again[id_name]) & (F.xxhash64(rows["text"]) == again[text_name])
+    several = rows.join(again, same, "left_semi")
+    once = several.select(*key, F.struct(*docs.columns).alias("_row")).groupBy(id_name, text_name).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
     return rows.join(again, same, "left_anti").unionByName(once)
 
 
