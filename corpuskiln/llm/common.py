@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +30,53 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    Only a local master, all of whose tasks run on this machine, gets one of our own; on a cluster the setting is required.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_corpuskiln_dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = sc._corpuskiln_dir = tempfile.mkdtemp(prefix="corpuskiln-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While this holds, the shuffle files of a statement go when it ends."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df from files in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_dropped(df.sparkSession):
         # The setting counts where the plan is made, so a new one is.
         return df.select("*").checkpoint(eager=True)
-    finally:
-        conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of df from a table in the shared folder, and its path: for what its user can drop again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    with _shuffles_dropped(spark):
+        df.select("*").write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def lower_ascii(text: Column) -> Column:
