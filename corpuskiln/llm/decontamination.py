@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams against document windows.
 
 Everything is DataFrame expressions. A window is ``n`` consecutive words of a benchmark item
-(an item of fewer words is one window). The 64-bit keys of a document's windows are exploded and
-probe the broadcast set inside one code-generated stage; a probe that hits is verified by
-comparing the words themselves there, so only true hits are ever shuffled. The set is broadcast
+(an item of fewer words is one window). The places of a document's windows are exploded and probe the broadcast set,
+by the hash of a window's first, middle and last word, inside one code-generated stage; a probe that hits is verified by
+comparing all the words there, so only true hits are ever shuffled. A row that marks the document itself goes along
+and carries its number of words, so texts are cut into words once. The set is broadcast
 in parts of at most ``MAX_WINDOWS`` windows, whatever the benchmark's size: a larger benchmark
 means more passes over the documents, not a larger broadcast.
 """
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import free_name, lower_ascii, table
 
 N = 13
 #: Windows in one broadcast. A window is N words; at 20 bytes a word a part stays under 60 MB.
@@ -29,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def window_key(words: Column, first: Column, length: Column) -> Column:
+    """A hash of three words of the window that starts at the 0-based ``first``."""
+    return F.xxhash64(F.get(words, first), F.get(words, first + F.floor(length / 2).cast("int")), F.get(words, first + length - 1))
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """One row per distinct window: key, length, words, items (ids as strings; null ids are left out)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w"))
@@ -37,76 +43,71 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     # An outer explode: a filter on the array's size, which Catalyst adds to an inner one, would be
     # pushed below the projections and there compute the words again for every window.
     windows = items.select("item_id", length.alias("length"), F.explode_outer(made).alias("window")).where(F.col("window").isNotNull())
-    return windows.groupBy("length", "window").agg(F.collect_set("item_id").alias("items")).withColumn("key", window_key(F.transform("window", lambda w: F.xxhash64(w))))
-
+    return windows.groupBy("length", "window").agg(F.collect_set("item_id").alias("items")).withColumn("key", window_key(F.col("window"), F.lit(0), F.col("length")))
 
-def window_key(hashes: Column) -> Column:
-    return F.xxhash64(hashes)
 
+def hits(docs: DataFrame, windows: DataFrame, keys: list[str], max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The ``keys`` columns of a document, n_words, and first word (from 1), length, items of a verified occurrence.
 
-def hits(docs: DataFrame, windows: DataFrame, keys: list[str], n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Verified occurrences: the ``keys`` columns of the document, first word (from 1), length, items.
-
-    docs has the ``keys`` and ``text``.
+    docs has the ``keys`` and ``text``. Each document also gives a row without an occurrence.
     """
     stats = windows.groupBy().agg(F.count("*").alias("n"), F.sort_array(F.collect_set("length")).alias("lengths")).first()
     lengths: list[int] = list(stats["lengths"])
     parts = max(1, math.ceil(stats["n"] / max_windows))
     own = [F.col(k) for k in keys]
     words = docs.select(*own, words_of(F.col("text")).alias("_words"))
-    hashed = words.select(*own, "_words", F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"))
-
-    def keys_of(length: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size("_h") - length + 1), lambda i: window_key(F.slice("_h", i, length)))
-        return F.when(F.size("_h") >= length, made).otherwise(F.array().cast("array<bigint>"))
-
-    probes = hashed.select(*own, "_words", F.flatten(F.array(*[keys_of(x) for x in lengths])).alias("_keys") if lengths else F.array().cast("array<bigint>").alias("_keys"))
-    probes = probes.select(*own, "_words", F.posexplode_outer("_keys").alias("_at", "_key"))
-    # The keys of the lengths follow each other; _at tells the length and the first word.
-    length, first, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+    size = F.size("_words")
+    total = sum((F.greatest(size - x + 1, F.lit(0)) for x in lengths), F.lit(0))
+    # Place 0 marks the document; the places of the lengths follow each other and tell the length and the first word.
+    probes = words.select(*own, "_words", size.alias("_n"), F.explode(F.sequence(F.lit(0), total)).alias("_at"))
+    length, first, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
     for x in lengths:
-        count = F.greatest(F.size("_words") - x + 1, F.lit(0))
-        inside = length.isNull() & (F.col("_at") < before + count)
-        length, first, before = F.when(inside, F.lit(x)).otherwise(length), F.when(inside, F.col("_at") - before + 1).otherwise(first), before + count
+        count = F.greatest(F.col("_n") - x + 1, F.lit(0))
+        inside = length.isNull() & (F.col("_at") >= 1) & (F.col("_at") < before + count)
+        length, first, before = F.when(inside, F.lit(x)).otherwise(length), F.when(inside, F.col("_at") - before).otherwise(first), before + count
     if len(lengths) == 1:
-        length, first = F.lit(lengths[0]), F.col("_at") + 1
+        length, first = F.when(F.col("_at") >= 1, F.lit(lengths[0])), F.col("_at") - 1
     renamed = windows.select(F.col("key").alias("_b_key"), F.col("length").alias("_b_length"), F.col("window").alias("_b_window"), F.col("items").alias("_b_items"))
+    placed = probes.select(*own, "_words", "_n", "_at", length.alias("_length"), first.alias("_first"))
+    key = F.when(F.col("_at") >= 1, window_key(F.col("_words"), F.col("_first"), F.col("_length")))
 
     def part(k: int) -> DataFrame:
         side = F.broadcast(renamed.where(F.pmod("_b_key", F.lit(parts)) == k) if parts > 1 else renamed)
-        same = (F.col("_key") == F.col("_b_key")) & (length == F.col("_b_length")) & (F.slice("_words", first, length) == F.col("_b_window"))
-        return probes.join(side, same).select(*own, first.alias("first"), length.alias("length"), F.col("_b_items").alias("items"))
+        same = (key == F.col("_b_key")) & (F.col("_length") == F.col("_b_length")) & (F.slice("_words", F.col("_first") + 1, F.col("_length")) == F.col("_b_window"))
+        found = placed.join(side, same, "left")
+        found = found.where(F.col("_b_key").isNotNull() | (F.col("_at") == 0) if k == 0 else F.col("_b_key").isNotNull())
+        return found.select(*own, F.col("_n").alias("n_words"), F.when(F.col("_b_key").isNotNull(), F.col("_first") + 1).alias("first"), F.when(F.col("_b_key").isNotNull(), F.col("_length")).alias("length"), F.col("_b_items").alias("items"))
 
     return reduce(DataFrame.unionByName, [part(k) for k in range(parts)])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row of docs(doc_id, text): n_words, n_hit, item_ids (sorted), hit spans, contaminated.
 
     A document word inside any occurrence of a window is hit; a document is contaminated when at
     least a twentieth of its words are. A null text has no words; a null doc_id is kept; rows with
-    equal doc_id and text share one result, each keeping its row; an empty benchmark hits nothing.
+    equal doc_id and text share one result, each keeping its row; an empty benchmark hits nothing; an empty table gives
+    an empty result. A text's words are one array in one task, whatever its length.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_text", F.xxhash64("text"))
-    found = hits(rows, benchmark_windows(benchmark, n), ["doc_id", "_text"], n)
-    found = found.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("first", "length")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["length"] - 1))))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.sort_array("spans").alias("spans"), F.size(covered).cast("long").alias("_n_hit"), "item_ids")
-    counts = rows.select("doc_id", "_text", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = counts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left")
-    n_hit = F.coalesce("_n_hit", F.lit(0).cast("long"))
-    return joined.select(
-        "doc_id", F.col("_text").alias("text_key"), "n_words", n_hit.alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        F.coalesce("spans", F.array().cast("array<struct<first:int,length:int>>")).alias("spans"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    found = hits(rows, benchmark_windows(benchmark, n), ["doc_id", "_text"], max_windows)
+    span = F.when(F.col("first").isNotNull(), F.struct("first", "length"))
+    found = found.groupBy("doc_id", F.col("_text").alias("text_key")).agg(
+        F.max("n_words").cast("long").alias("n_words"), F.count_if(F.col("first").isNull()).alias("_rows"),
+        F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
     )
+    # Words in spans: what each span adds beyond the ones before it.
+    ends = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
+    covered = F.aggregate("spans", ends, lambda a, s: F.struct(F.greatest(a["end"], s["first"] + s["length"]).alias("end"), (a["hit"] + F.greatest(s["first"] + s["length"] - F.greatest(s["first"], a["end"]), F.lit(0))).alias("hit")), lambda a: a["hit"])
+    found = found.withColumn("n_hit", covered).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return found.select("doc_id", "text_key", "n_words", "n_hit", "item_ids", "spans", "contaminated", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_copy")).drop("_copy")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated. Null and empty texts stay."""
-    bad = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")
+    id_name, text_name = free_name(docs, "_bad_id"), free_name(docs, "_bad_text")
+    bad = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias(id_name), F.col("text_key").alias(text_name)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[id_name]) & (F.xxhash64(docs["text"]) == bad[text_name]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
