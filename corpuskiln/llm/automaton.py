@@ -1,7 +1,8 @@
 """A deterministic automaton over bytes for a set of regular expressions.
 
 Expressions are parsed to position automata, joined into one, turned deterministic by subset
-construction and minimised; the result is a transition array over byte classes. Supported: literals,
+construction and minimised; the result is a transition array over byte classes, with the set of expressions that
+each state accepts. Expressions may be reversed, to find where matches begin. Supported: literals,
 \\xHH and escaped punctuation, classes, (...), (?:...), (?i:...) for ASCII letters, |, ?, *, +, {n}, {n,}, {n,m}.
 """
 
@@ -160,34 +161,53 @@ def _build(tree, a: Positions) -> tuple[bool, int, int]:
     return empty, first, last
 
 
+def _reversed(tree):
+    """The tree of the expression's strings read backwards."""
+    if tree[0] == "set":
+        return tree
+    if tree[0] in ("cat", "or"):
+        parts = [_reversed(t) for t in tree[1]]
+        return (tree[0], parts[::-1] if tree[0] == "cat" else parts)
+    return (tree[0], _reversed(tree[1]), *tree[2:])
+
+
 @dataclass
 class Automaton:
-    """step[state * classes + class_of[byte]] is the next state times ``classes``; state 0 is the start.
+    """step[state + class_of[byte]] is the next state; states are multiples of ``classes``, 0 is the start.
 
-    States from ``accepting`` (times classes) on end a match of some expression.
+    States from ``accepting`` on end a match; masks[state // classes] has the bits of the expressions that do.
+    ``dead``: the state that nothing leads out of, -1 if there is none.
     """
 
     step: np.ndarray
     class_of: np.ndarray
     classes: int
     accepting: int
+    masks: np.ndarray
+    dead: int
 
 
-def build(patterns: list[str]) -> Automaton:
-    """The minimal automaton that, after any bytes, accepts if a match of a pattern ends there."""
-    a, first, last = Positions(), 0, 0
+def build(patterns: list[str], backwards: bool = False, anchored: bool = False) -> Automaton:
+    """The minimal automaton that, after any bytes, accepts the patterns of which a match ends there.
+
+    backwards: the patterns are reversed, for bytes read from the end; anchored: matches begin with the first byte only.
+    """
+    a, first, lasts = Positions(), 0, []
     for pattern in patterns:
-        empty, f, x = _build(_Parser(pattern).parse(), a)
+        tree = _Parser(pattern).parse()
+        empty, f, x = _build(_reversed(tree) if backwards else tree, a)
         if empty:
             raise ValueError(f"{pattern!r} matches nothing")
-        first, last = first | f, last | x
+        first |= f
+        lasts.append(x)
     signature = [sum(1 << p for p, s in enumerate(a.bytes_of) if s >> b & 1) for b in range(256)]
     kinds = list(dict.fromkeys(signature))
     class_of = np.array([kinds.index(s) for s in signature], np.int32)
-    number, todo, rows = {0: 0}, [0], []
+    # The start is -1: unlike the empty set, it may go on if the automaton is anchored.
+    number, todo, rows = {-1: 0}, [-1], []
     for state in todo:
-        reach = first
-        for p in _bits(state):
+        reach = first if state == -1 or not anchored else 0
+        for p in _bits(max(state, 0)):
             reach |= a.follow[p]
         row = []
         for s in kinds:
@@ -197,12 +217,13 @@ def build(patterns: list[str]) -> Automaton:
                 todo.append(target)
             row.append(number[target])
         rows.append(row)
-    return _minimal(np.array(rows), np.array([bool(s & last) for s in todo]), class_of)
+    accepts = np.array([sum(1 << k for k, last in enumerate(lasts) if state > 0 and state & last) for state in todo])
+    return _minimal(np.array(rows), accepts, class_of)
 
 
 def _minimal(step: np.ndarray, accepts: np.ndarray, class_of: np.ndarray) -> Automaton:
     """Partition refinement, then renumbering: the start first, accepting states last."""
-    block = accepts.astype(np.int64)
+    block = np.unique(accepts, return_inverse=True)[1].ravel()
     while True:
         _, refined = np.unique(np.c_[block, block[step]], axis=0, return_inverse=True)
         refined = refined.ravel()
@@ -210,41 +231,57 @@ def _minimal(step: np.ndarray, accepts: np.ndarray, class_of: np.ndarray) -> Aut
             break
         block = refined
     _, one = np.unique(block, return_index=True)
-    order = sorted(range(len(one)), key=lambda b: (accepts[one[b]], b != block[0]))
+    order = sorted(range(len(one)), key=lambda b: (accepts[one[b]] > 0, b != block[0]))
     renamed = np.empty(len(one), np.int64)
     renamed[order] = np.arange(len(one))
     table = renamed[block[step[one[order]]]]
     classes = table.shape[1]
-    return Automaton((table * classes).astype(np.int32).ravel(), class_of, classes, int((~accepts[one]).sum()) * classes)
+    masks = accepts[one[order]]
+    stays = np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & (masks == 0))
+    return Automaton((table * classes).astype(np.int32).ravel(), class_of, classes, int((masks == 0).sum()) * classes, masks, int(stays[0]) * classes if len(stays) else -1)
 
 
-def scan(automaton: Automaton, data: np.ndarray, width: int = 256) -> np.ndarray:
-    """Whether a match ends in each ``width`` bytes of data (uint8), all rules in one pass.
+def scan(automaton: Automaton, data: np.ndarray, width: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the last byte, mask of the patterns) of all places of data (uint8) where matches end, in one pass.
 
-    The pieces advance together, a byte each per step, from the start state; a piece whose
-    predecessor turns out to end elsewhere is scanned again from there.
+    The bytes are cut into pieces that advance together, a byte each per step, from the state that the end of the piece
+    before leads to; a piece whose predecessor turns out to end elsewhere is scanned again from there.
     """
     pieces = -(-len(data) // width)
     symbols = np.zeros(pieces * width, np.int32)
     np.take(automaton.class_of, data, out=symbols[: len(data)])
     symbols[len(data) :] = automaton.class_of[10]
     columns = symbols.reshape(pieces, width)
+    places: list[list] = [[] for _ in range(3)]
+    latest = np.zeros(pieces, np.int64)
 
-    def run(which: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = np.ascontiguousarray(columns[which].T)
-        state, most = start.copy(), np.zeros(len(start), np.int32)
-        for symbol in own:
+    def run(which: np.ndarray, start: np.ndarray, turn: int) -> np.ndarray:
+        latest[which] = turn
+        state = start.copy()
+        for j, symbol in enumerate(np.ascontiguousarray(columns[which].T)):
             state += symbol
             state = automaton.step[state]
-            np.maximum(most, state, out=most)
-        return state, most >= automaton.accepting
+            hit = np.flatnonzero(state >= automaton.accepting)
+            if len(hit):
+                for found, x in zip(places, (which[hit] * width + j, state[hit], np.full(len(hit), turn))):
+                    found.append(x)
+        return state
 
     start = np.zeros(pieces, np.int32)
-    every = np.arange(pieces)
-    end, found = run(every, start)
-    while True:
-        wrong = np.flatnonzero(end[:-1] != start[1:]) + 1
-        if not len(wrong):
-            return found
+    state = start[:-1].copy()
+    for symbol in np.ascontiguousarray(columns[:-1, -min(64, width) :].T):
+        state = automaton.step[state + symbol]
+    start[1:] = state
+    end = run(np.arange(pieces), start, 0)
+    turn = 0
+    while len(wrong := np.flatnonzero(end[:-1] != start[1:]) + 1):
+        turn += 1
         start[wrong] = end[wrong - 1]
-        end[wrong], found[wrong] = run(wrong, start[wrong])
+        end[wrong] = run(wrong, start[wrong], turn)
+    if not places[0]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, state, by = (np.concatenate(x) for x in places)
+    valid = (by == latest[at // width]) & (at < len(data))
+    at, state = at[valid], state[valid]
+    order = np.argsort(at, kind="stable")
+    return at[order], automaton.masks[state[order] // automaton.classes]

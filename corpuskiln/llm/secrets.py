@@ -1,14 +1,15 @@
-"""Secret scans: one deterministic automaton for all rules locates, the rules' expressions verify.
+"""Secret scans: all rules in one pass of a combined deterministic automaton.
 
-Every rule has a short expression for the automaton, which matches inside each of its secrets, and
-its exact expression. No rule matches across a newline, so the exact expressions run only on
-lines in which the automaton found something; what they give there is what they give on the whole text.
+The rules' expressions are reversed and compiled into one automaton; a pass over the bytes, from the end, gives every place
+where some rule's match begins, and which rules'. From a place that is not inside the rule's match before, an automaton
+for matches that begin there runs to the last byte at which it accepts: the leftmost, longest matches, which for these rules are what a
+backtracking matcher gives. No regular-expression library takes part. No rule matches across a newline, so texts are scanned joined by newlines.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,25 +24,27 @@ from .common import bytes_of, small_batches, table, text_chunks
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; what the automaton looks for; the exact expression; the least length of its group ``group``."""
+    """kind; expression; the least length of a match that counts, or with ``tail`` of its last run of one class.
+
+    A match that is too short does not count, but what it covers begins no other match of the rule. After the first byte
+    at which an expression with ``tail`` accepts only its last run follows.
+    """
 
     kind: str
-    locate: str
-    exact: str
-    group: int = 0
-    least: int = 0
+    pattern: str
+    least: int
+    tail: bool = False
 
 
-_NAMES = "password|passwd|secret|token|api_?key"
 #: The first three are the base rules; spans are ordered by start, then as listed here.
 RULES = (
-    Rule("assign", rf"(?i:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{{12}}", rf"(?ai:({_NAMES}))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]{4}", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]{16}", r"[0-9a-f]+", 0, 16),
-    Rule("github", r"gh[oprsu]_[A-Za-z0-9]{4}", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", r"xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
-    Rule("keyblock", r"-----BEGIN ", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", 12, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 18),
+    Rule("hex", r"[0-9a-f]{16,}", 16),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("webtoken", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+    Rule("keyblock", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
 )
 BASE = ("assign", "access", "hex")
 
@@ -49,41 +52,56 @@ BASE = ("assign", "access", "hex")
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.exact = [re.compile(r.exact) for r in rules]
-        self.automaton = automaton.build([r.locate for r in rules])
-
-    def line_spans(self, line: str) -> list[tuple[int, int, int]]:
-        """(start, rule number, end) of what the exact expressions accept in a line."""
-        out = []
-        for k, (rule, exact) in enumerate(zip(self.rules, self.exact)):
-            for m in exact.finditer(line):
-                if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                    out.append((m.start(), k, m.end()))
-        return out
+        self.starts = automaton.build([r.pattern for r in rules], backwards=True)
+        ahead = automaton.build([r.pattern for r in rules], anchored=True)
+        self.step, self.class_of, self.dead = ahead.step.tolist(), ahead.class_of.tolist(), ahead.dead
+        self.masks, self.classes = ahead.masks.tolist(), ahead.classes
+
+    def match(self, data: bytes, at: int, rule: int) -> tuple[int, int]:
+        """(end of the rule's longest match that begins at ``at``, end of its shortest)."""
+        state, end, shortest = 0, -1, -1
+        while at < len(data):
+            state = self.step[state + self.class_of[data[at]]]
+            if state == self.dead:
+                break
+            at += 1
+            if self.masks[state // self.classes] >> rule & 1:
+                end = at
+                if shortest < 0:
+                    shortest = at
+        return end, shortest
+
+    def matches(self, data: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, rule number, end) in bytes of data, of what the rules accept."""
+        places, masks = automaton.scan(self.starts, data[::-1])
+        if not len(places):
+            return []
+        places, masks = len(data) - 1 - places[::-1], masks[::-1]
+        out, whole = [], data.tobytes()
+        for k, rule in enumerate(self.rules):
+            starts = places[(masks >> k & 1).astype(bool)].tolist()
+            i = 0
+            while i < len(starts):
+                end, shortest = self.match(whole, starts[i], k)
+                if end - (shortest - 1 if rule.tail else starts[i]) >= rule.least:
+                    out.append((starts[i], k, end))
+                i = bisect_left(starts, end, i + 1)
+        return sorted(out)
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """For each UTF-8 text its (start, rule number, end) in code points, in order."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        width = 256
-        hit = np.flatnonzero(automaton.scan(self.automaton, data, width))
-        if not len(hit):
+        found = self.matches(data)
+        if not found:
             return out
-        ends = np.flatnonzero(data == 10)
         text_at = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
-        first = np.searchsorted(ends, hit * width)
-        last = np.minimum(np.searchsorted(ends, hit * width + width - 1), len(ends) - 1)
-        lines = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)]))
-        begin = np.where(lines > 0, ends[lines - 1] + 1, 0)
-        row, at, points = -1, 0, 0
-        for a, b, r in zip(begin, ends[lines], np.searchsorted(text_at, begin, "right") - 1):
-            if r != row:
-                row, at, points = r, text_at[r], 0
-            points += int(np.count_nonzero((data[at:a] & 0xC0) != 0x80))
-            at = a
-            line = data[a:b].tobytes().decode("utf-8", "replace")
-            out[r] += [(s + points, k, e + points) for s, k, e in self.line_spans(line)]
-        return [sorted(x) for x in out]
+        points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        text = np.searchsorted(text_at, [s for s, _, _ in found], "right") - 1
+        for (s, k, e), r in zip(found, text):
+            before = points[text_at[r]]
+            out[r].append((int(points[s] - before), k, int(points[e] - before)))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -103,7 +121,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Offsets are code points, ends exclusive. A null text counts as empty: no spans; a null doc_id
     is kept; repeated rows each get a row; spans of different kinds may overlap, those of one kind
-    do not. There is no shuffle.
+    do not; an empty table gives an empty result. A text is scanned whole, with some 30 times its size in arrays.
+    There is no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

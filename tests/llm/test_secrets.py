@@ -27,18 +27,38 @@ def random_texts(n, seed):
 
 @pytest.mark.parametrize("pattern", ["ab+c", "(a|bc)*d", "[a-c]{2,3}x?y", "(?i:Ab)c", "a{2,}b", "[^a]b", r"\.x\x20*=", "x(yz){2}"])
 def test_automaton_finds_ends_of_matches(pattern):
-    a = automaton.build([pattern])
+    a, back = automaton.build([pattern]), automaton.build([pattern], backwards=True)
     rng = random.Random(7)
     for _ in range(200):
         text = "".join(rng.choice("abcdxyzABC.= \n") for _ in range(rng.randint(1, 40)))
-        want = any(re.search(f"(?:{pattern})$", text[:i]) for i in range(1, len(text) + 1) if not text[:i].endswith("\n")) or bool(re.search(pattern, text))
-        assert automaton.scan(a, np.frombuffer(text.encode(), np.uint8), 4).any() == want
+        data = np.frombuffer(text.encode(), np.uint8)
+        whole = [(i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if re.fullmatch(pattern, text[i:j])]
+        places, masks = automaton.scan(a, data, 4)
+        assert list(places) == sorted({j - 1 for _, j in whole}) and (masks == 1).all()
+        places, _ = automaton.scan(back, data[::-1], 4)
+        assert sorted(len(text) - 1 - places) == sorted({i for i, _ in whole})
+
+
+def test_masks_tell_the_patterns_apart():
+    a = automaton.build(["ab", "b+", "cab"])
+    places, masks = automaton.scan(a, np.frombuffer(b"cabb a b", np.uint8), 3)
+    assert list(zip(places.tolist(), masks.tolist())) == [(2, 7), (3, 2), (7, 2)]
 
 
 def test_pieces_take_over_their_predecessors_state():
     a = automaton.build(["x{30}"])
     data = np.frombuffer(b"y" * 7 + b"x" * 30 + b"y" * 20, np.uint8)
-    assert list(np.flatnonzero(automaton.scan(a, data, 8))) == [4]
+    assert list(automaton.scan(a, data, 8)[0]) == [36]
+    assert list(automaton.scan(a, np.frombuffer(b"x" * 1000, np.uint8), 8)[0]) == list(range(29, 1000))
+
+
+def expected(text):
+    """(start, rule number, end) by the expressions themselves."""
+    found = [(m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(BASE) for m in p.finditer(text) if m.end(g) - m.start(g) >= least]
+    for k, rule in enumerate(secrets.RULES):
+        if rule.kind not in secrets.BASE:
+            found += [(m.start(), k, m.end()) for m in re.finditer(rule.pattern, text) if m.end() - m.start() >= rule.least]
+    return sorted(found)
 
 
 def test_spans_equal_the_expressions_on_whole_texts():
@@ -46,11 +66,18 @@ def test_spans_equal_the_expressions_on_whole_texts():
     for seed in range(60):
         texts = random_texts(5, seed)
         for text, found in zip(texts, s.spans([t.encode() for t in texts])):
-            assert found == s.line_spans(text) or found == sorted(s.line_spans(text))
+            assert found == expected(text)
             kept = [f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in found if secrets.RULES[k].kind in secrets.BASE]
             assert kept == base_spans(text)
 
 
+def test_very_long_texts():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(PARTS, k=400_000)), "0123456789abcdef" * 20_000, "password=" + "b" * 300_000, "x" * 3_000_000]
+    for text, found in zip(texts, secrets.scanner().spans([t.encode() for t in texts])):
+        assert found == expected(text)
+
+
 def test_query_columns(spark, edge, edge_rows, empty):
     rows = [(r[0], r[1]) for r in edge_rows] + [(1000 + i, t) for i, t in enumerate(random_texts(40, 99))]
     got = secrets.find_secrets(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")).collect()
