@@ -179,16 +179,15 @@ def is_adherent(text: Column, lexicon: Sequence[str], least: int | Column, terms
 
 
 def substitute(text: Column, mapping: Mapping[str, str]) -> Column:
-    """Whole words or phrases, any case, by their mapped value; longer ones first.
+    """Whole words or phrases, any case, by their mapped value, in one pass: values are not looked at again.
 
-    Values must not hold keys: the steps follow each other.
+    Where several keys begin at one place, the one that stands first in the mapping is taken.
     """
-    for value in mapping.values():
-        if any(re.search(rf"\b{re.escape(k)}\b", value, re.I) for k in mapping):
-            raise ValueError(f"{value!r} would be replaced again")
-    for key in sorted(mapping, key=lambda k: (-len(k), k)):
-        text = F.regexp_replace(text, rf"(?iU)\b{_java(key)}\b", mapping[key].replace("\\", "\\\\").replace("$", "\\$"))
-    return text
+    pattern = r"(?iU)\b(?:" + "|".join(_java(k) for k in mapping) + r")\b"
+    table = F.create_map(*[F.lit(x) for k, v in mapping.items() for x in (k.lower(), v)])
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w))
+    between = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def substitute_phrases(text: Column, glossary: Sequence[tuple[str, str]]) -> Column:
@@ -201,7 +200,7 @@ def substitute_phrases(text: Column, glossary: Sequence[tuple[str, str]]) -> Col
     return F.struct(text.alias("text"), F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("hits"))
 
 
-#: Notation that a translation must carry over unchanged.
+#: Notation that a translation must carry over unchanged; a fixed pattern.
 PROTECTED_TOKENS = r"(?iU)(?<!\w)(?:O\([^\s,;.]+\)|===|==|!==|!=|<=|>=|TypeError|NoneType|JavaScript|Python|None)(?!\w)"
 
 

@@ -158,6 +158,9 @@ def retention(df: DataFrame, keep: Column, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("before"), F.count_if(keep).alias("after"))
 
 
-def metric(document: Column, language: str, name: str) -> Column:
-    """document.summary.languages[language][name] as a double; null if absent."""
-    return F.try_element_at(document["summary"]["languages"], F.lit(language))[name].cast("double")
+def metric(document: Column, language: str, name: str, required: bool = True) -> Column:
+    """document.summary.languages[language][name] as a double; a missing one fails the job, or is null if not required."""
+    found = F.try_element_at(document["summary"]["languages"], F.lit(language))[name].cast("double")
+    if not required:
+        return found
+    return F.when(found.isNull(), F.raise_error(F.lit(f"no {name} for {language}"))).otherwise(found)

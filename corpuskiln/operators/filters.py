@@ -90,8 +90,20 @@ def unknown_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return ids.select(key).distinct().join(table, key, "left_anti")
 
 
-def select_cases(cases: DataFrame, key: str, order: str, ids: Sequence | None = None, limit: int | None = None) -> DataFrame:
-    """The cases with the ids, or else the first ``limit`` by order (clamped at 0)."""
-    if ids:
-        return cases.where(F.col(key).isin(*ids))
-    return cases if limit is None else cases.orderBy(order).limit(max(0, limit))
+def select_cases(cases: DataFrame, key: str, order: str, ids: DataFrame | Sequence | None = None, limit: int | None = None) -> DataFrame:
+    """The cases with the ids, or else the first ``limit`` by order (clamped at 0).
+
+    Ids that no case has are an error. Ids come as a table, of any size, or as a short list.
+    """
+    if ids is None or (not isinstance(ids, DataFrame) and not ids):
+        return cases if limit is None else cases.orderBy(order).limit(max(0, limit))
+    if not isinstance(ids, DataFrame):
+        ids = cases.sparkSession.createDataFrame([(x,) for x in ids], cases.select(key).schema)
+    if unknown := unknown_ids(cases, ids, key).take(10):
+        raise ValueError(f"unknown ids: {[r[0] for r in unknown]}")
+    return select_ids(cases, ids, key)
+
+
+def pair_between(prompt: Column, answer: Column, prompt_band: tuple[int, int] = (40, 1800), answer_band: tuple[int, int] = (40, 5000)) -> Column:
+    """Whether both sides of a pair have a length in their band."""
+    return length_between(prompt, *prompt_band) & length_between(answer, *answer_band)

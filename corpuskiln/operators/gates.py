@@ -72,6 +72,13 @@ def size_violations(rows: DataFrame, least: int) -> DataFrame:
     return n.where((F.col("n") < least) | (F.col("n") == 0)).select(F.when(F.col("n") == 0, F.lit("empty")).otherwise(F.lit("too_few")).alias("check"), F.col("n").cast("string").alias("key"))
 
 
+def empty_sides(rows: DataFrame, side: str, expected: Sequence[str]) -> DataFrame:
+    """(check, key): the sides of a split that have no row."""
+    wanted = rows.sparkSession.createDataFrame([(x,) for x in expected], "key string")
+    there = rows.groupBy(F.col(side).alias("key")).agg(F.count("*").alias("n"))
+    return wanted.join(there.select("key"), "key", "left_anti").select(F.lit("empty_side").alias("check"), "key")
+
+
 def ratio_violations(rows: DataFrame, language: str, ratios: Mapping[str, float]) -> DataFrame:
     """Lanes whose count is not round(total * ratio), half to even, with actual and expected counts."""
     if abs(sum(ratios.values()) - 1.0) > 1e-9:

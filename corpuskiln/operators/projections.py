@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Names under which sources keep a pair, in the order tried; fixed values.
 PAIR_KEYS = (("query", "answer"), ("instruction", "output"), ("prompt", "response"))
 
 
@@ -42,11 +44,13 @@ def chat_text(messages: Column) -> Column:
 
 
 def render_template(wrappers: Sequence[str], variant: Column, **fields: Column) -> Column:
-    """wrappers[variant modulo their number] with {field} replaced."""
-    text = F.element_at(F.array(*[F.lit(w) for w in wrappers]), F.pmod(variant, F.lit(len(wrappers))).cast("int") + 1)
-    for name, value in fields.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value)
-    return text
+    """wrappers[variant modulo their number] with {field} replaced; values are not looked at again."""
+
+    def filled(wrapper: str) -> Column:
+        parts = re.split(r"\{(" + "|".join(map(re.escape, fields)) + r")\}", wrapper) if fields else [wrapper]
+        return F.concat(*[fields[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+    return F.element_at(F.array(*[filled(w) for w in wrappers]), F.pmod(variant, F.lit(len(wrappers))).cast("int") + 1)
 
 
 def render_answer(runtime: Column, code: Column, language: Column, explanations: Mapping[str, Column]) -> Column:
@@ -74,14 +78,22 @@ def lane_variants(language: Column, lane: Mapping[str, Sequence[Column]], hints:
 
 
 def overlay(rows: DataFrame, fields: DataFrame, key: str) -> DataFrame:
-    """rows with the values that fields gives for their key in place of their own; new columns are added."""
-    other = fields.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in fields.columns if c != key])
+    """rows with the values that fields gives for their key, null ones too, in place of their own; new columns are added."""
+    other = fields.select(F.col(key).alias("_k"), F.lit(True).alias("_there"), *[F.col(c).alias(f"_new_{c}") for c in fields.columns if c != key])
     joined = rows.join(other, F.col(key) == F.col("_k"), "left")
-    kept = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields.columns and c != key else F.col(c) for c in rows.columns]
+    kept = [F.when(F.col("_there"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fields.columns and c != key else F.col(c) for c in rows.columns]
     added = [F.col(f"_new_{c}").alias(c) for c in fields.columns if c not in rows.columns]
     return joined.select(*kept, *added)
 
 
+def zipped(df: DataFrame, *keep: str, **arrays: Column) -> DataFrame:
+    """A row per place of the arrays, with ``ordinal``; arrays of different lengths in a row fail the job."""
+    sizes = F.array_distinct(F.array(*[F.size(a) for a in arrays.values()]))
+    same = F.when(F.size(sizes) > 1, F.raise_error(F.lit("arrays of different lengths"))).otherwise(F.arrays_zip(*[a.alias(n) for n, a in arrays.items()]))
+    made = df.select(*keep, F.posexplode(same).alias("ordinal", "_z"))
+    return made.select(*keep, "ordinal", *[F.col("_z")[n].alias(n) for n in arrays])
+
+
 def null_as_zero_sum(*columns: Column) -> Column:
     return sum((F.coalesce(c, F.lit(0)) for c in columns[1:]), F.coalesce(columns[0], F.lit(0)))
 

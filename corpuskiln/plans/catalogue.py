@@ -269,18 +269,18 @@ def chat_render(spark, d):
     return conversations(spark, d).select("conv_id", projections.chat_text(F.col("messages")).alias("chat"))
 
 
-FENCED = "'```' || CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'javascript' END || chr(10) || substr(text, 1, 80) || chr(10) || '```' || chr(10) || chr(10) || lang || ' explanation of ' || source"
+FENCED = "'```' || CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'javascript' END || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || lang || ' explanation of ' || source"
 BODY = r"regexp_replace(regexp_extract_all(answer, '(?is)```(?:python|py|javascript|js)\s*\n(.*?)```', 1)[1], '^\s+|\s+$', '', 'g')"
 
 
 def answers(spark, d):
-    docs = t(spark, d, "documents").withColumn("runtime", F.when(F.col("doc_id") % 2 == 0, "python").otherwise("javascript")).withColumn("code", F.substring("text", 1, 80))
+    docs = t(spark, d, "documents").withColumn("runtime", F.when(F.col("doc_id") % 2 == 0, "python").otherwise("javascript")).withColumn("code", F.col("text"))
     said = {x: F.concat_ws(" explanation of ", "lang", "source") for x in S.LANES}
     return docs.withColumn("answer", projections.render_answer(F.col("runtime"), F.col("code"), F.col("lang"), said))
 
 
 @query(rf"""
-WITH a AS (SELECT doc_id, substr(text, 1, 80) AS code, {FENCED} AS answer FROM documents)
+WITH a AS (SELECT doc_id, text AS code, {FENCED} AS answer FROM documents)
 SELECT doc_id, answer, sha256({BODY}) AS body_sha256, {BODY} = regexp_replace(code, '^\s+|\s+$', '', 'g') AS locked FROM a
 """)
 def code_lock(spark, d):
@@ -290,7 +290,7 @@ def code_lock(spark, d):
 
 
 @query(rf"""
-WITH a AS (SELECT source, lang, {FENCED} AS answer, sha256(regexp_replace(substr(text, 1, 80), '^\s+|\s+$', '', 'g')) AS declared FROM documents),
+WITH a AS (SELECT source, lang, {FENCED} AS answer, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS declared FROM documents),
 g AS (SELECT source, list_sort(list(DISTINCT lang)) AS lanes, count(DISTINCT declared) AS hashes FROM a GROUP BY source)
 SELECT 'lane_set' AS "check", source AS key FROM g WHERE lanes <> {sql_list(S.LANES)}
 UNION ALL SELECT 'declared_hash', source FROM g WHERE hashes <> 1
@@ -448,13 +448,9 @@ def language_adherence(spark, d):
     return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(ok).alias("adherent"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bof the\b', 'from the', 'g'), '(?i)\band\b', 'plus', 'g'), '(?i)\bthe\b', 'that', 'g') AS replaced FROM documents WHERE lang = 'en'")
+@query(r"WITH p AS (SELECT doc_id, string_split_regex(text, '(?i)\b(?:and|of the|the)\b') AS parts, regexp_extract_all(text, '(?i)\b(?:and|of the|the)\b') AS found FROM documents WHERE lang = 'en') SELECT doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(found) THEN '' WHEN lower(found[i]) = 'and' THEN 'plus' WHEN lower(found[i]) = 'the' THEN 'that' ELSE 'from the' END), '') AS replaced FROM p")
 def lexicon_substitute(spark, d):
-    # The second mapping's value holds a key of the third, so each goes on its own.
-    text = F.col("text")
-    for key in ("of the", "and", "the"):
-        text = X.substitute(text, {key: S.SUBSTITUTES[key]}) if key != "of the" else F.regexp_replace(text, r"(?i)\bof the\b", "from the")
-    return t(spark, d, "documents").where("lang = 'en'").select("doc_id", text.alias("replaced"))
+    return t(spark, d, "documents").where("lang = 'en'").select("doc_id", X.substitute(F.col("text"), S.SUBSTITUTES).alias("replaced"))
 
 
 @query()
@@ -483,10 +479,11 @@ def repeated_word_collapse(spark, d):
 TOKENS = r"list_distinct(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z]+|[0-9]+(?:\.[0-9]+)?'))"
 
 
-@query(f"WITH w AS (SELECT doc_id, {TOKENS.format('text')} AS a, {TOKENS.format('substr(text, 1, 300)')} AS b FROM documents) SELECT doc_id, 2 * len(list_intersect(a, b)) / greatest(1, len(a) + len(b)) AS f1 FROM w")
+@query(f"WITH f AS (SELECT source, arg_min(text, doc_id) AS first FROM documents GROUP BY source), w AS (SELECT doc_id, {TOKENS.format('text')} AS a, {TOKENS.format('first')} AS b FROM documents JOIN f USING (source)) SELECT doc_id, 2 * len(list_intersect(a, b)) / greatest(1, len(a) + len(b)) AS f1 FROM w")
 def token_f1(spark, d):
-    a, b = X.ascii_tokens(F.col("text")), X.ascii_tokens(F.substring("text", 1, 300))
-    return t(spark, d, "documents").select("doc_id", X.overlap_f1(a, b).alias("f1"))
+    docs = t(spark, d, "documents")
+    first = dedup.first_value(docs, "source", "text", "doc_id").withColumnRenamed("text", "first")
+    return docs.join(first, "source").select("doc_id", X.overlap_f1(X.ascii_tokens(F.col("text")), X.ascii_tokens(F.col("first"))).alias("f1"))
 
 
 def _anchor_sql() -> str:
@@ -533,9 +530,9 @@ def semantic_score(spark, d):
     return t(spark, d, "documents").select("doc_id", F.bround((X.overlap_f1(a, b) + ratio) / 2, 4).alias("score"))
 
 
-@query(rf"WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```py' || chr(10) || substr(text, 1, 40) ELSE {FENCED} END AS answer FROM documents) SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') THEN regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```', 1) ELSE regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*)$', 1) END, '^\s+|\s+$', '', 'g') AS code, regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') AS closed FROM a")
+@query(rf"WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```py' || chr(10) || text ELSE {FENCED} END AS answer FROM documents) SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') THEN regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```', 1) ELSE regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*)$', 1) END, '^\s+|\s+$', '', 'g') AS code, regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') AS closed FROM a")
 def fence_extract(spark, d):
-    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```py\n"), F.substring("text", 1, 40))).otherwise(F.col("answer"))
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```py\n"), F.col("text"))).otherwise(F.col("answer"))
     return answers(spark, d).select("doc_id", X.extract_code(answer).alias("c")).select("doc_id", "c.code", "c.closed")
 
 
@@ -836,3 +833,6 @@ def function_contract(spark, d):
 def contract_relock(spark, d):
     prompt, translated = F.lit("Implement f(a). Requirement: x"), F.concat(F.lit("abc hitaji: "), F.col("source"))
     return t(spark, d, "documents").select("doc_id", X.relocked(prompt, translated, r"^Implement (.+?)\. Requirement: .*$", r"\b(?:mahitaji|hitaji)\s*:\s*", "Do {signature}. Sharti: {requirement}").alias("locked"))
+
+
+from . import more  # noqa: E402, F401  (registers the rest)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +29,13 @@ def get_session(master: str | None = None, app: str = "corpuskiln", **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; only a local master gets one of our own where none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="corpuskiln-")
+    return f"{root}/files-{uuid.uuid4().hex}"

@@ -59,10 +59,14 @@ def format_probes(spark: SparkSession, fences: int, objects: int, bullets: int,
     return spark.range(1, fences + objects + bullets + 1).withColumnRenamed("id", "n").select(F.format_string("format_%s_%02d", kind, n).alias("id"), contract.alias("contract"), language.alias("language"), n.alias("ordinal"))
 
 
-def read_source_files(spark: SparkSession, path: str, most: int = 64 * 1024) -> DataFrame:
-    """(path, code) of files of at most ``most`` bytes; bytes that are no UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
-    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("code"))
+def read_source_files(spark: SparkSession, path: str, most: int = 64 * 1024, skip_larger: bool = False) -> DataFrame:
+    """(path, code) of files of at most ``most`` bytes; bytes that are no UTF-8 are replaced. A larger file fails the job, unless skipped."""
+    files = spark.read.format("binaryFile").load(path)
+    code = F.make_valid_utf8(F.col("content").cast("string"))
+    if skip_larger:
+        return files.where(F.col("length") <= most).select("path", code.alias("code"))
+    large = F.concat(F.col("path"), F.lit(f" has more than {most} bytes"))
+    return files.select("path", F.when(F.col("length") > most, F.raise_error(large)).otherwise(code).alias("code"))
 
 
 PROGRESS = r"^\[(\d+)/(\d+)\] (\S+) (\S+)$"

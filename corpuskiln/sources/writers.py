@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,30 @@ def write_document(row: DataFrame, path: str) -> None:
     row.select(F.to_json(F.struct(*row.columns), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_array(df: DataFrame, path: str, *order: str) -> None:
+    """A small table as one JSON array of objects, in order; it is gathered in one row."""
+    rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*df.columns).alias("r"))))
+    write_file(df.agg(F.to_json(F.transform(rows, lambda x: x["r"])).alias("value")), path)
+
+
+def write_file(row: DataFrame, path: str) -> None:
+    """The text of a one-row frame (value) as one file named ``path``, which appears whole or not at all.
+
+    It is written beside, under a name of its own, and renamed; an older file of the name goes.
+    """
+    spark = row.sparkSession
+    part = f"{path}.{uuid.uuid4().hex}"
+    row.coalesce(1).write.option("lineSep", "\n").text(part)
+    paths = spark._jvm.org.apache.hadoop.fs
+    target, folder = paths.Path(path), paths.Path(part)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = fs.globStatus(paths.Path(f"{part}/part-*"))[0].getPath()
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(written, target)
+    fs.delete(folder, True)
+
+
 def write_blocks(df: DataFrame, block: str, order: Sequence[str], path: str) -> None:
     """Text blocks in order, a blank line between any two."""
     df.orderBy(*order).select(F.concat(F.col(block), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)

@@ -87,8 +87,9 @@ def test_script_markers_ignore_space(spark):
 
 def test_substitution(spark):
     assert one(spark, X.substitute(F.col("t"), {"a b": "X", "b": "y"}), t="A b, b, cb") == "X, y, cb"
-    with pytest.raises(ValueError):
-        X.substitute(F.col("t"), {"a": "the b", "b": "c"})
+    # One pass: a value that holds a key is not replaced again; the first key that fits is taken.
+    assert one(spark, X.substitute(F.col("t"), {"a": "the b", "b": "c"}), t="A b a") == "the b c the b"
+    assert one(spark, X.substitute(F.col("t"), {"a": "1", "a b": "2"}), t="a b") == "1 b"
     got = one(spark, X.substitute_phrases(F.col("t"), (("a", "b"), ("b", "c"))), t="a x éa")
     assert got["text"] == "c x éa" and [h["source"] for h in got["hits"]] == ["a", "b"]
 
@@ -172,3 +173,20 @@ def test_udfs_keep_nulls(spark):
     df = spark.createDataFrame([("abc", "abd"), (None, "x")], "a string, b string")
     got = [r.r for r in df.select(PY.sequence_ratio_udf("a", "b").alias("r")).collect()]
     assert got == [difflib.SequenceMatcher(None, "abc", "abd").ratio(), None]
+
+
+def test_mutants():
+    code = "def f(x):\n    if x < 3 and x:\n        return x * 2 + 1\n    return None"
+    made = PY.mutants(code)
+    edits = [("x < 3 and x", "x < 3 or x"), ("return x * 2 + 1", "return None"), ("x < 3", "x <= 3"), ("2 + 1", "2 - 1")]
+    assert sorted(made) == sorted(code.replace(*e) for e in edits)
+    assert PY.mutants("def (") == [] and PY.mutants("x = 1") == []
+    assert len(PY.mutants("\n".join(f"a{i} = {i} + b" for i in range(9)))) == 4
+
+
+@pytest.mark.parametrize(("code", "want"), [
+    ("function f() { return 1 }\nf()", "function f() { return 1 }"), ("function f() { if (x) { y } };  \nf()", "function f() { if (x) { y } };"),
+    ("function f() { g({", None), ("const f = x => x", None), ("}\nfunction f() {}", "}\nfunction f() {}"), ("f()", None), ("class A { b() {} }\nnew A({", "class A { b() {} }"),
+])
+def test_script_trims_to_the_last_block(code, want):
+    assert PY.trim_script(code) == want

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from corpuskiln.operators import evaluation
@@ -23,7 +25,7 @@ def test_documents_and_results(spark, tmp_path):
             doc = {"schema": "v", "model": label, "results": [{"task_id": "t", "language": part, "technical_pass": True}], "summary": {"languages": {part: {"code_pass_rate": 0.5}}}}
             (tmp_path / f"{label}-{part}.json").write_text(json.dumps(doc, indent=1))
     docs = readers.read_labelled(spark, str(tmp_path), ["a", "b"], ["en", "sw"], schemas.EVALUATION)
-    got = {(r.label, r.part, r.m) for r in docs.select("label", "part", evaluation.metric(F.struct("summary"), "en", "code_pass_rate").alias("m")).collect()}
+    got = {(r.label, r.part, r.m) for r in docs.select("label", "part", evaluation.metric(F.struct("summary"), "en", "code_pass_rate", required=False).alias("m")).collect()}
     assert got == {("a", "en", 0.5), ("b", "en", 0.5), ("a", "sw", None), ("b", "sw", None)}
     assert readers.results_of(docs, "label").count() == 4
     assert readers.read_glob(spark, str(tmp_path), "a-*.json", schemas.EVALUATION).count() == 2
@@ -44,7 +46,9 @@ def test_logs(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"x = '\xff'")
     (tmp_path / "b.py").write_bytes(b"y" * 100)
-    got = readers.read_source_files(spark, str(tmp_path), most=50).collect()
+    with pytest.raises(Exception, match="more than 50 bytes"):
+        readers.read_source_files(spark, str(tmp_path), most=50).collect()
+    got = readers.read_source_files(spark, str(tmp_path), most=50, skip_larger=True).collect()
     assert len(got) == 1 and got[0].code.startswith("x = '")
     assert readers.literal_table(spark, [("a",), ("b",)], "k string").collect()[1].ordinal == 1
     probes = readers.format_probes(spark, 20, 15, 15, ["en", "sw", "mix"])

@@ -274,3 +274,37 @@ def test_selection(spark):
     assert filters.select_cases(df, "k", "o", limit=-1).count() == 0 and filters.select_cases(df, "k", "o", ids=["3"]).count() == 1
     assert rows(joins.same_keys(df, ids, "k")) == [(False,)]
     assert X.padded_id("f_", F.col("o")) is not None
+
+
+def test_unknown_cases_are_an_error(spark):
+    cases = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    assert [r.id for r in filters.select_cases(cases, "id", "n", ["b"]).collect()] == ["b"]
+    with pytest.raises(ValueError, match="unknown ids"):
+        filters.select_cases(cases, "id", "n", ["b", "zz"])
+    assert filters.select_cases(cases, "id", "n", limit=-1).count() == 0
+
+
+def test_overlay_takes_nulls_and_keeps_rows_without_fields(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    fields = spark.createDataFrame([(1, None, 5)], "k int, v string, w int")
+    assert sorted(tuple(r) for r in projections.overlay(rows, fields, "k").collect()) == [(1, None, 5), (2, "b", None)]
+
+
+def test_zip_needs_equal_lengths(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], ["x", "y"])], "k int, p array<string>, q array<string>")
+    assert [tuple(r) for r in projections.zipped(df, "k", p=F.col("p"), q=F.col("q")).collect()] == [(1, 0, "a", "x"), (1, 1, "b", "y")]
+    with pytest.raises(Exception, match="different lengths"):
+        projections.zipped(df, "k", p=F.col("p"), q=F.slice("q", 1, 1)).collect()
+
+
+def test_templates_fill_each_field_once(spark):
+    df = spark.createDataFrame([(0, "{b}", "B")], "n int, a string, b string")
+    assert df.select(projections.render_template(["{a}-{b}-{c}"], F.col("n"), a=F.col("a"), b=F.col("b")).alias("x")).first().x == "{b}-B-{c}"
+
+
+def test_paraphrases_of_another_table_go(spark):
+    words = lambda *sets: spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "k int, w array<string>")
+    a = words(["aa", "bb", "cc", "dd"], ["xx", "yy"], [], ["abcdefgh", "ijklmnop"], ["aa", "bb", "cc", "dd"])
+    seen = words(["aa", "bb", "cc"], ["abcdefgh", "ijklmnoq"])
+    assert sorted(r.k for r in similarity.without_paraphrases(a, seen, "w").collect()) == [1, 2]
+    assert sorted(r.k for r in similarity.without_paraphrases(a, words([]), "w").collect()) == [0, 1, 3, 4]
