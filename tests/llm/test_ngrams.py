@@ -31,25 +31,27 @@ def test_files_are_mapped(tmp_path):
     assert (EliasFano.of(eliasfano.mapped(str(tmp_path / "x"))).access(np.arange(4)) == v).all()
 
 
-def brute(rows):
+def brute(rows, order):
     tokens = [WORD.findall((t or "").encode().lower()) + [None] for _, t, _ in rows]
-    c, b = Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]
     for w, (_, _, held) in zip(tokens, rows):
         if not held:
-            c.update(w)
-            b.update(zip(w, w[1:]))
-    total, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 0.5) / (total + 0.5 * (v + 1))
-    taken = Counter()
-    for (x, y), n in b.items():
-        if n >= ngrams.KEEP:
-            taken[x] += (n - ngrams.DISCOUNT) / c[x]
+            for m in range(1, order + 1):
+                counts[m].update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
+    followers = Counter(g[:-1] for c in counts[2:] for g in c)
+    total, v = sum(counts[1].values()), len(counts[1])
+    uni = lambda w: (counts[1][w,] + 0.5) / (total + 0.5 * (v + 1))
     out = []
     for w, (i, _, held) in zip(tokens, rows):
-        score = math.log10(uni(w[0]))
-        for x, y in zip(w, w[1:]):
-            score += math.log10((1 - taken[x]) * uni(y) + ((b[x, y] - ngrams.DISCOUNT) / c[x] if b[x, y] >= ngrams.KEEP else 0))
-        out.append((i, held, len(w), sum(c[x] > 0 for x in w), sum(math.log10(uni(x)) for x in w), score))
+        score = 0.0
+        for at, x in enumerate(w):
+            p = uni(x)
+            for m in range(2, min(order, at + 1) + 1):
+                context = tuple(w[at - m + 1 : at])
+                if n := counts[m - 1][context]:
+                    p = max(counts[m][*context, x] - ngrams.DISCOUNT, 0) / n + ngrams.DISCOUNT * followers[context] / n * p
+            score += math.log10(p)
+        out.append((i, held, len(w), sum(counts[1][x,] > 0 for x in w), sum(math.log10(uni(x)) for x in w), score))
     return out, total
 
 
@@ -60,18 +62,28 @@ def same(a, b):
         assert x[4] == pytest.approx(y[4], abs=1e-8) and x[5] == pytest.approx(y[5], abs=2e-4 * y[2])
 
 
-@pytest.mark.parametrize("shard_words", [1 << 17, 4])
-def test_scores_match_brute_force(edge, edge_rows, monkeypatch, shard_words):
+@pytest.mark.parametrize(("order", "shard_words", "block"), [(2, 1 << 17, 1 << 21), (4, 1 << 17, 1 << 21), (2, 4, 7), (4, 4, 50), (1, 4, 7)])
+def test_scores_match_brute_force(edge, edge_rows, monkeypatch, order, shard_words, block):
     monkeypatch.setattr(ngrams, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(ngrams, "BLOCK", block)
     docs = edge.select("doc_id", "text", "key").withColumn("held_out", ngrams.is_held_out(F.col("doc_id")))
-    model = ngrams.train(docs.where("NOT held_out"))
+    model = ngrams.train(docs.where("NOT held_out"), order)
     got = [tuple(r) for r in ngrams.score(docs, model).collect()]
     held = {r.doc_id: r.held_out for r in docs.collect()}
-    want, total = brute([(r[0], r[1], held[r[0]]) for r in edge_rows])
-    assert model.total == total
+    want, total = brute([(r[0], r[1], held[r[0]]) for r in edge_rows], order)
+    assert model.total == total and model.order == order
     same(got, want)
 
 
+def test_a_frequent_context_lies_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "BLOCK", 300)
+    rows = [(i, " ".join(f"the w{i}x{k}" for k in range(40))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model = ngrams.train(docs)
+    assert np.diff(model.levels[1].rows).max() <= 330 and model.levels[1].rows[-1] == 2 * 2000
+    same([tuple(r) for r in ngrams.score(docs, model).collect()], brute([(*r, False) for r in rows], 2)[0])
+
+
 def test_without_training_rows(edge, empty):
     model = ngrams.train(empty)
     got = ngrams.score(edge.withColumn("held_out", F.lit(True)), model).collect()
