@@ -38,7 +38,8 @@ from .common import bytes_of, checkpointed, shared_dir, small_batches, table, te
 from .eliasfano import EliasFano
 from .tokens import tokenize
 
-ORDER, DISCOUNT = 3, 0.75
+#: The order of the query: one more exceeds the limits of the check, see the README.
+ORDER, DISCOUNT = 2, 0.75
 #: Log10 steps of the quantised values.
 STEP = 1 / 4096
 #: Words in a shard, about.
