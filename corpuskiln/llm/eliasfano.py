@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -78,12 +79,17 @@ class EliasFano:
         place = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
         return ((place - i) << self.bits) | self._low(i)
 
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        """Clear bits of ``high`` before each of its words."""
+        return np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+
     def _below(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high part under ``high``."""
         out = np.zeros(len(high), np.int64)
         some = np.flatnonzero(high > 0)
         k = high[some] - 1
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        zeros = self.zeros
         word = np.searchsorted(zeros, k, "right") - 1
         place = word * 64 + _select_in_word(~self.high[word], k - zeros[word])
         out[some] = np.minimum(place - k, self.size)

@@ -111,6 +111,19 @@ def _logs(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1e-16))
 
 
+def _by(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its places) for each that occurs; sorted ones cost one look."""
+    order = np.argsort(shard, kind="stable")
+    own = shard[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
+    for a, b in zip(first, [*first[1:], len(own)]):
+        yield int(own[a]), order[a:b]
+
+
+#: What a quantised value stands for.
+POWER = 10.0 ** (np.arange(1 << 16) * -STEP)
+
+
 class Reader:
     """Looks words and n-grams up in the mapped files."""
 
@@ -133,12 +146,11 @@ class Reader:
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, counts, occurrences of the words before) of the hashes; -1 and 0 for words that training did not see."""
         ids, counts, before = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        level, shard = self.model.levels[0], hashes >> self.model.width
-        for s in np.unique(shard):
-            if not (file := self.file(1, int(s))):
+        level = self.model.levels[0]
+        for s, own in _by(hashes >> self.model.width):
+            if not (file := self.file(1, s)):
                 continue
             words, sums = file
-            own = np.flatnonzero(shard == s)
             x = hashes[own] - (s << self.model.width)
             i = words.successor(x, np.zeros(len(x), np.int64), np.full(len(x), words.size))
             there = np.flatnonzero(i < words.size)
@@ -152,57 +164,60 @@ class Reader:
         """How often the nodes of a level occur."""
         out = np.zeros(len(nodes), np.int64)
         rows = self.model.levels[number - 1].rows
-        shard = np.searchsorted(rows, nodes, "right") - 1
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            sums = self.file(number, int(s))[1 if number == 1 else 3]
+        for s, own in _by(np.searchsorted(rows, nodes, "right") - 1):
+            sums = self.file(number, s)[1 if number == 1 else 3]
             i = nodes[own] - rows[s]
             out[own] = sums.access(i + 1) - sums.access(i)
         return out
 
     def weights(self, number: int, context: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of the back-off weights of contexts of a level."""
+        """The back-off weights of contexts of a level."""
         out = np.zeros(len(context))
         first, last = before // self.model.block, (before + count - 1) // self.model.block
         contexts, successors = self.model.levels[number - 1].split
         edge = np.flatnonzero(first != last)
         if len(edge):
-            out[edge] = _logs(DISCOUNT * successors[np.searchsorted(contexts, context[edge])] / count[edge])
-        inner = first == last
-        for s in np.unique(first[inner]):
-            own = np.flatnonzero(inner & (first == s))
-            low, *_, weights = self.file(number, int(s))
-            out[own] = weights[context[own] - low] * -STEP
+            out[edge] = DISCOUNT * successors[np.searchsorted(contexts, context[edge])] / count[edge]
+        inner = np.flatnonzero(first == last)
+        for s, own in _by(first[inner]):
+            own = inner[own]
+            low, *_, weights = self.file(number, s)
+            out[own] = POWER[weights[context[own] - low]]
         return out
 
-    def find(self, number: int, context: np.ndarray, count: np.ndarray, before: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For n-grams of a level: (node or -1, log10 of the discounted share, occurrences, occurrences before)."""
-        node, share = np.full(len(context), -1, np.int64), np.zeros(len(context))
-        n, ahead = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
-        level, shard = self.model.levels[number - 1], self.model.shard(count, before, successor)
-        for s in np.unique(shard):
-            if not (file := self.file(number, int(s))):
+    def find(self, number: int, context: np.ndarray, count: np.ndarray, before: np.ndarray, successor: np.ndarray, places: bool = True) -> tuple[np.ndarray, ...]:
+        """For n-grams of a level: (discounted share, 0 if there is none), and with ``places`` (node or -1, occurrences, occurrences before)."""
+        share = np.zeros(len(context))
+        node, n, ahead = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        level = self.model.levels[number - 1]
+        for s, own in _by(self.model.shard(count, before, successor)):
+            if not (file := self.file(number, s)):
                 continue
             low, pointers, successors, sums, codes, _ = file
-            own = np.flatnonzero(shard == s)
             local = context[own] - low
             inside = (local >= 0) & (local < pointers.size - 1)
             own, local = own[inside], local[inside]
+            if not len(own):
+                continue
+            # Neighbours mostly have the same context, whose range is found once.
+            new = np.r_[True, local[1:] != local[:-1]]
+            of, local = np.cumsum(new) - 1, local[new]
             begin, end = pointers.access(local), pointers.access(local + 1)
-            some = np.flatnonzero(begin < end)
-            own, begin, end = own[some], begin[some], end[some]
-            base = np.zeros(len(own), np.int64)
-            later = np.flatnonzero(begin > 0)
+            base = np.zeros(len(local), np.int64)
+            later = np.flatnonzero((begin > 0) & (begin < end))
             base[later] = successors.access(begin[later] - 1)
-            x = base + successor[own]
-            i = successors.successor(x, begin, end)
-            there = np.flatnonzero(i < end)
+            some = np.flatnonzero((begin < end)[of])
+            own, of = own[some], of[some]
+            x = base[of] + successor[own]
+            i = successors.successor(x, begin[of], end[of])
+            there = np.flatnonzero(i < end[of])
             there = there[successors.access(i[there]) == x[there]]
             i, own = i[there], own[there]
-            low_sum = sums.access(i)
-            node[own], share[own] = level.rows[s] + i, codes[i] * -STEP
-            n[own], ahead[own] = sums.access(i + 1) - low_sum, level.mass[s] + low_sum
-        return node, share, n, ahead
+            share[own] = POWER[codes[i]]
+            if places:
+                low_sum = sums.access(i)
+                node[own], n[own], ahead[own] = level.rows[s] + i, sums.access(i + 1) - low_sum, level.mass[s] + low_sum
+        return (share, node, n, ahead) if places else (share,)
 
     def distinct(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(one place of each different pair, which of these each pair is)."""
@@ -261,27 +276,37 @@ def _held(counts: Iterator[tuple]) -> Iterator[tuple]:
         yield out()
 
 
-def _lookups(reader: Reader, hashes: np.ndarray, upto: int) -> Iterator[tuple]:
-    """First (word ids, counts) of the tokens; then for each level to ``upto``: (places that have a context, log10 of its weight
-    and of the n-gram's share, -inf if there is none); last (word ids, context, its count, occurrences before) for the level after."""
+def _lookups(reader: Reader, hashes: np.ndarray, upto: int, more: bool) -> Iterator[tuple]:
+    """First (logs of the words' own probabilities, counts) of the tokens; then for each level to ``upto``: (places that have a context,
+    its weight, the n-gram's share, 0 if there is none); with ``more`` last (word ids, context, its count, occurrences before) for the level after."""
     distinct, back = np.unique(hashes, return_inverse=True)
-    ids, counts, before = (x[back] for x in reader.ids(distinct))
-    yield ids, counts
+    own = reader.ids(distinct)
+    ids, counts, before = (x[back] for x in own)
+    yield reader.model.unigram(own[1])[back], counts
     context, count, ahead = _after(hashes, ids, counts, before)
     for number in range(2, upto + 1):
         at = np.flatnonzero(context >= 0)
         one, which = reader.distinct(context[at], ids[at])
         c, k, b, w = context[at][one], count[at][one], ahead[at][one], ids[at][one]
-        weight, share = reader.weights(number, c, k, b), np.full(len(one), -np.inf)
-        node, n, low = np.full(len(one), -1, np.int64), np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else one
+        weight = np.repeat(reader.weights(number, c[new], k[new], b[new]), np.diff(np.r_[new, len(c)]))
         known = np.flatnonzero(w >= 0)
-        node[known], found, n[known], low[known] = reader.find(number, c[known], k[known], b[known], w[known])
-        share[known] = np.where(node[known] >= 0, found, -np.inf)
-        yield at, weight[which], share[which]
-        nodes, ns, lows = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        nodes[at], ns[at], lows[at] = node[which], n[which], low[which]
-        context, count, ahead = _after(hashes, nodes, ns, lows)
-    yield ids, context, count, ahead
+        share, *rest = reader.find(number, c[known], k[known], b[known], w[known], more or number < upto)
+        shares = np.zeros(len(one))
+        shares[known] = share
+        yield at, weight[which], shares[which]
+        if not rest:
+            return
+        found = []
+        for x, nothing in zip(rest, (-1, 0, 0)):
+            of = np.full(len(one), nothing, np.int64)
+            of[known] = x
+            every = np.full(len(hashes), nothing, np.int64)
+            every[at] = of[which]
+            found.append(every)
+        context, count, ahead = _after(hashes, *found)
+    if more:
+        yield ids, context, count, ahead
 
 
 GRAM = "shard long, context long, successor long, n long"
@@ -297,7 +322,7 @@ def _counted_grams(docs: DataFrame, model: Model) -> DataFrame:
         def found() -> Iterator[tuple]:
             for batch in text_chunks(batches, CHUNK):
                 hashes, _ = words_of(bytes_of(batch))
-                *_, (ids, context, count, ahead) = _lookups(reader, hashes, model.order)
+                *_, (ids, context, count, ahead) = _lookups(reader, hashes, model.order, True)
                 at = np.flatnonzero(context >= 0)
                 shard = model.shard(count[at], ahead[at], ids[at])
                 if wide:
@@ -431,12 +456,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in text_chunks(batches, CHUNK):
             hashes, sizes = words_of(bytes_of(batch))
             start = np.cumsum(sizes) - sizes
-            found = _lookups(reader, hashes, model.order)
-            _, counts = next(found)
-            base = model.unigram(counts)
+            found = _lookups(reader, hashes, model.order, False)
+            base, counts = next(found)
             p = 10.0**base
-            for _, (at, weight, share) in zip(range(2, model.order + 1), found):
-                p[at] = 10.0**share + 10.0**weight * p[at]
+            for at, weight, share in found:
+                p[at] = share + weight * p[at]
             sums = [np.add.reduceat(x, start) for x in ((counts > 0).astype(np.int64), base, np.log10(p))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), *[pa.array(x) for x in sums]], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
