@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "corpuskiln", **conf: str) -> SparkSession:
@@ -31,11 +32,25 @@ def get_session(master: str | None = None, app: str = "corpuskiln", **conf: str)
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; only a local master gets one of our own where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def _shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local master gets one of our own where none is set."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_corpuskiln_dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="corpuskiln-")
-    return f"{root}/files-{uuid.uuid4().hex}"
+        root = sc._corpuskiln_dir = tempfile.mkdtemp(prefix="corpuskiln-")
+    return root
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_root(spark)}/files-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df from files in the shared folder: for what a plan reads several times and takes long to make."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared_root(spark))
+    return df.checkpoint(eager=True)
