@@ -3,7 +3,9 @@ import re
 from pathlib import Path
 
 import corpus_pipeline
-from corpuskiln.llm import queries
+from pyspark.sql import functions as F
+
+from corpuskiln.llm import decontamination, near_copies, quality, queries, secrets, sharding, simhash, suffixes
 
 
 def write_tables(spark, folder, docs, labels, items):
@@ -47,3 +49,24 @@ def test_nothing_else_imports_the_subpackage():
         if "llm" not in path.parts:
             assert not re.search(r"(import|from)\b.*\bllm\b", path.read_text(encoding="utf-8")), path
     assert json.dumps(len(corpus_pipeline.STAGES)) == "5"
+
+
+def test_columns_of_any_name_stay(spark, edge, edge_rows):
+    """Extra columns with the names that the stages use inside, on rows that are repeated, null or empty."""
+    names = ["_kept_id", "_kept_text", "_bad_id", "_bad_text", "_id", "_row", "_text", "_at", "shard", "slot", "held_out", "set_key", "root", "words", "_copy", "w", "n"]
+    docs = edge.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(c).alias(c) for c in names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "no such words in any of them"), (2, None)], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels, threshold=0.0), near_copies.keep_one(docs), simhash.keep_one(docs), decontamination.remove_contaminated(docs, items), secrets.redact(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and 0 < len(rows) <= len(edge_rows)
+        assert all(r[c] == c for r in rows for c in names)
+    for f in (simhash.groups, near_copies.groups, secrets.find_secrets, suffixes.remove_repeats, lambda d: sharding.shard_rows(d, 3), lambda d: decontamination.contamination(d, items)):
+        assert f(docs).count() == len(edge_rows)
+
+
+def test_the_row_that_stays_is_defined(spark):
+    rows = [(1, "a b c", "z"), (1, "a b c", "y"), (1, "a b c", "y"), (2, "A b c", "a")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, x string").repartition(2)
+        assert [tuple(r) for r in near_copies.keep_one(docs).collect()] == [(1, "a b c", "y")]
