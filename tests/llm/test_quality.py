@@ -1,3 +1,4 @@
+import re
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -49,3 +50,51 @@ def test_labels_of_the_held_out_fold_do_not_count(spark, edge):
     b = a.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     score = lambda lab: sorted((repr(r.doc_id), r.score) for r in quality.classify(edge, lab).collect())
     assert score(a) == score(b)
+
+
+TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x20\x09-\x0d]")
+
+
+def hash_of(token):
+    return int(quality.tokenize([token], punctuation=True).hashes[0])
+
+
+def mixed(h):
+    return int(quality.mixed(np.array([h % (1 << 64)], np.uint64))[0])
+
+
+def brute_vectors(texts):
+    total = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        tokens = [hash_of(x) for x in TOKEN.findall((t or "").encode().lower())]
+        for i, word in enumerate(tokens):
+            for j in range(max(0, i - quality.WINDOW), min(len(tokens), i + quality.WINDOW + 1)):
+                if j != i:
+                    for k in range(quality.NONZERO):
+                        h = mixed(tokens[j] + k + 1)
+                        total[word % quality.BUCKETS, h % quality.DIM] += 1 if h >> 63 else -1
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+
+
+def brute_features(text, vectors):
+    data = (text or "").encode()
+    tokens = [hash_of(x) for x in TOKEN.findall(data.lower())]
+    if not tokens:
+        return np.zeros(quality.FEATURES)
+    own = np.array([vectors[h % quality.BUCKETS] for h in tokens])
+    n = len(tokens)
+    counts = [len(set(tokens)) / n, np.log1p(n), np.log1p(len(data)) - np.log1p(n), sum(a == b for a, b in zip(tokens, tokens[1:])) / n]
+    return np.r_[own.mean(0), own.std(0), counts]
+
+
+def test_vectors_features_and_scores_match_brute_force(spark, edge, edge_rows):
+    texts = [r[1] for r in edge_rows]
+    vectors = quality.word_vectors(edge)
+    want = brute_vectors(texts)
+    assert np.abs(vectors - want).max() < 1e-5
+    x = np.array([brute_features(t, want) for t in texts])
+    assert np.abs(quality.features([(t or "").encode() for t in texts], vectors) - x).max() < 1e-4
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    fitted, network = quality.fit(edge.select("doc_id", "text"), labels)
+    got = sorted((r.score for r in quality.classify(edge, labels).collect()))
+    assert np.allclose(got, sorted(network.score(x)), atol=1e-3) and (fitted == vectors).all()
