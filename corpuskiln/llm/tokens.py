@@ -34,7 +34,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A polynomial hash of each data[start:end]; runs are in order and do not overlap."""
     if not len(start):
         return np.zeros(0, np.uint64)
@@ -69,4 +69,4 @@ def tokenize(texts: list[bytes], punctuation: bool = False) -> Tokens:
         end = np.flatnonzero(word[:-1] & ~word[1:]) + 1
     edge = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
     counts = np.diff(np.searchsorted(start, edge))
-    return Tokens(_hash_runs(data, start, end), counts)
+    return Tokens(hash_runs(data, start, end), counts)

@@ -39,7 +39,7 @@ def test_run_on_edges(spark, edge, edge_rows, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
