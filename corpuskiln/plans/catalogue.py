@@ -486,17 +486,25 @@ def token_f1(spark, d):
     return docs.join(first, "source").select("doc_id", X.overlap_f1(X.ascii_tokens(F.col("text")), X.ascii_tokens(F.col("first"))).alias("f1"))
 
 
+def document_pairs(spark, d):
+    """Each document with the first one, by id, of its source and language: rows doc_id, text, first."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    firsts = docs.groupBy("source", "lang").agg(F.min_by("text", "doc_id").alias("first")).withColumnsRenamed({"source": "s", "lang": "l"})
+    return docs.join(firsts, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", "text", "first")
+
+
+PAIRS = "SELECT doc_id, text, first_value(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS first FROM documents"
+
+
 def _anchor_sql() -> str:
     tests = " AND ".join(f"(len(list_intersect(a, {sql_list(x)})) > 0) = (len(list_intersect(b, {sql_list(x)})) > 0)" for x in [*[y for g in S.ANCHORS for y in g], S.NEGATIONS])
     num = r"list_sort(list_distinct(regexp_extract_all({}, '[0-9]+(?:\.[0-9]+)?')))"
-    half = "substr(text, 1, length(text) // 2)"
-    return f"WITH w AS (SELECT doc_id, {TOKENS.format('text')} AS a, {TOKENS.format(half)} AS b, {num.format('text')} AS x, {num.format(half)} AS y FROM documents) SELECT doc_id, x = y AND {tests} AS kept FROM w"
+    return f"WITH w AS (SELECT doc_id, {TOKENS.format('text')} AS a, {TOKENS.format('first')} AS b, {num.format('text')} AS x, {num.format('first')} AS y FROM ({PAIRS})) SELECT doc_id, x = y AND {tests} AS kept FROM w"
 
 
 @query(_anchor_sql())
 def anchor_check(spark, d):
-    half = F.expr("substring(text, 1, length(text) div 2)")
-    return t(spark, d, "documents").select("doc_id", X.anchors_kept(F.col("text"), half, S.ANCHORS, S.NEGATIONS).alias("kept"))
+    return document_pairs(spark, d).select("doc_id", X.anchors_kept(F.col("text"), F.col("first"), S.ANCHORS, S.NEGATIONS).alias("kept"))
 
 
 def normalized(spark, d, name="documents", key="doc_id"):
@@ -524,10 +532,9 @@ def paraphrase_pairs(spark, d):
 
 @query()
 def semantic_score(spark, d):
-    half = F.expr("substring(text, 1, length(text) div 2)")
-    a, b = X.ascii_tokens(F.col("text")), X.ascii_tokens(half)
+    a, b = X.ascii_tokens(F.col("text")), X.ascii_tokens(F.col("first"))
     ratio = PY.sequence_ratio_udf(F.array_join(a, " "), F.array_join(b, " "))
-    return t(spark, d, "documents").select("doc_id", F.bround((X.overlap_f1(a, b) + ratio) / 2, 4).alias("score"))
+    return document_pairs(spark, d).select("doc_id", F.bround((X.overlap_f1(a, b) + ratio) / 2, 4).alias("score"))
 
 
 @query(rf"WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```py' || chr(10) || text ELSE {FENCED} END AS answer FROM documents) SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') THEN regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```', 1) ELSE regexp_extract(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*)$', 1) END, '^\s+|\s+$', '', 'g') AS code, regexp_matches(answer, '(?is)```(?:python|py|javascript|js)?\s*\n(.*?)```') AS closed FROM a")

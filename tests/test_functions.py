@@ -192,11 +192,3 @@ def test_mutants():
 ])
 def test_script_trims_to_the_last_block(code, want):
     assert PY.trim_script(code) == want
-
-
-@settings(deadline=None, max_examples=150)
-@given(st.text("abc é", max_size=40), st.text("abc é", max_size=40), st.sampled_from([0.3, 0.6, 0.86, 1.0]))
-def test_sequence_bound_loses_nothing(a, b, least):
-    matcher = difflib.SequenceMatcher(None, a, b)
-    assert PY.sequence_reaches(a, b, least) == (matcher.ratio() >= least)
-    assert PY.common_subsequence(a, b) >= sum(m.size for m in matcher.get_matching_blocks())
