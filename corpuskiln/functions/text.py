@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .python_code import dedented_udf
+
 LABELS = r"(?:python|py|javascript|js)"
 LABELLED_FENCE = rf"(?is)```{LABELS}\s*\n(.*?)```"
 CLOSED_FENCE = rf"(?is)```{LABELS}?\s*\n(.*?)```"
@@ -217,6 +219,30 @@ def restore_tokens(source: Column, target: Column, lead: str, pattern: str = PRO
     return F.when(F.size(missing) == 0, target).otherwise(ended)
 
 
+#: A call signature in prose, and the source block that a text ends in; fixed patterns.
+INTERFACE = r"(?U)(?<![.\w])([A-Za-z_$][\w$]*)\s*\(([^()\n]*)\)"
+SOURCE_BLOCK = r"(?dmsU)^([ \t]*(?:def\s+[A-Za-z_]\w*\s*\([^\n]*\)\s*:|(?:async\s+)?function\s+[A-Za-z_$][\w$]*\s*\([^\n]*\)\s*\{).*)$"
+
+
+def interfaces(text: Column) -> Column:
+    """The distinct call signatures of a text, in order, with the arguments stripped."""
+    names, arguments = (F.regexp_extract_all(text, F.lit(INTERFACE), F.lit(k)) for k in (1, 2))
+    return F.array_distinct(F.zip_with(names, arguments, lambda n, a: F.concat(n, F.lit("("), strip(a), F.lit(")"))))
+
+
+def restore_contract(source: Column, translated: Column, interface_lead: str, block_lead: str) -> Column:
+    """struct(text, actions): the translation, then the signatures of the source's prose that it lacks, then the source's code block."""
+    block = F.regexp_extract(source, SOURCE_BLOCK, 1)
+    prose = F.substring(source, F.lit(1), F.length(source) - F.length(block))
+    lost = F.filter(interfaces(prose), lambda c: ~F.contains(translated, c))
+    code = F.when(F.length(block) > 0, dedented_udf(block))
+    signatures = F.when(F.size(lost) > 0, F.concat(F.lit(interface_lead), F.array_join(lost, ", "), F.lit(".")))
+    parts = F.array_compact(F.array(signatures, F.concat(F.lit(f"{block_lead}\n```\n"), code, F.lit("\n```"))))
+    actions = F.array_compact(F.array(F.when(signatures.isNotNull(), F.lit("restored_interface")), F.when(code.isNotNull(), F.lit("restored_source_code"))))
+    ended = F.concat(F.regexp_replace(translated, r"(?U)\s+\z", ""), F.lit("\n\n"), F.array_join(parts, "\n\n"))
+    return F.struct(F.when(F.size(parts) > 0, ended).otherwise(translated).alias("text"), actions.alias("actions"))
+
+
 def present_terms(text: Column, terms: Sequence[str]) -> Column:
     """The terms, in the order given, that occur in the text as words, plural or not."""
     return F.filter(F.array(*[F.when(text.rlike(rf"(?iU)\b{_java(t)}s?\b"), F.lit(t)) for t in terms]), lambda x: x.isNotNull())

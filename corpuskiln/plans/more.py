@@ -203,8 +203,8 @@ FROM (SELECT doc_id, lang, source, CASE WHEN lang = 'en' THEN 'Do f(' || source
 def restored_contracts(spark, d):
     source = F.concat(F.lit("Write f( "), "source", F.lit(" ).\n  def f(x):\n      return x\n"))
     target = F.when(F.col("lang") == "en", F.concat(F.lit("Do f("), "source", F.lit(") now"))).otherwise(F.col("lang"))
-    restore = PY.restore_contract_udf("Signature: ", "Code:")
-    return t(spark, d, "documents").select("doc_id", restore(source, target).alias("r")).select("doc_id", "r.text")
+    made = X.restore_contract(source, target, "Signature: ", "Code:")
+    return t(spark, d, "documents").select("doc_id", made.alias("r")).select("doc_id", "r.text")
 
 
 @query("SELECT doc_id, '## Hinweise' || chr(10) || chr(10) || upper(source) || chr(10) || chr(10) || '```py' || chr(10) || lang || chr(10) || '```Ende' AS text FROM documents")

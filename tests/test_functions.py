@@ -165,12 +165,28 @@ def test_normalizer():
     assert f("just words", "python", "en") == {"text": "just words", "actions": []}
 
 
-def test_contracts_and_markdown():
-    got = PY.restore_contract("Use f(a).\n    def g(x):\n        return x\n", "ok", "Keep ", "Code:")
-    assert got["actions"] == ["restored_interface", "restored_source_code"] and "Keep f(a)." in got["text"] and "\ndef g(x):\n    return x\n```" in got["text"]
+def test_contracts_and_markdown(spark):
+    f = X.restore_contract(F.col("s"), F.col("t"), "Keep ", "Code:")
+    got = one(spark, f, s="Use f( a ), f(a) and g(b).\n    def g(x):\n        return h(x)\n", t="ok g(b) \n")
+    assert got["actions"] == ["restored_interface", "restored_source_code"] and got["text"] == "ok g(b)\n\nKeep f(a).\n\nCode:\n```\ndef g(x):\n    return h(x)\n```"
+    assert tuple(one(spark, f, s="no calls", t="as is \n")) == ("as is \n", [])
+    assert one(spark, f, s="async function f(a) {\r\n}", t="x")["text"] == "x\n\nCode:\n```\nasync function f(a) {\r\n}\n```"
     assert PY.map_markdown("## Why:\n\nabc\n\n```\nabc\n```", str.upper, {"Why": "Sababu"}) == "## Sababu\n\nABC\n\n```\nabc\n```"
 
 
+def test_findings_come_from_the_outside_in():
+    found = list(PY.findings("def f():\n    import os.path, numpy\n    x.__y\nopen(eval(1))\n"))
+    assert [tuple(x) for x in found] == [("import", "os", 2), ("import", "numpy", 2), ("no-effect", "", 3), ("call", "open", 4), ("attribute", "__y", 3), ("call", "eval", 4)]
+    deep = "x = " + "+".join(["a"] * 3000)
+    assert PY.preflight(deep) in ("", "syntax")
+
+
+def test_python_trims_end_with_whole_statements():
+    assert PY.trim_python("def f(): pass\r\nx = 1") == "def f(): pass"
+    assert PY.trim_python("def f(): pass; x = (1,\n 2)\nf()") == "def f(): pass; x = (1,\n 2)"
+    assert PY.trim_python("x = 1\nclass A:\n    y = 2  # end\n\n\nA()") == "x = 1\nclass A:\n    y = 2  # end"
+
+
 def test_udfs_keep_nulls(spark):
     df = spark.createDataFrame([("abc", "abd"), (None, "x")], "a string, b string")
     got = [r.r for r in df.select(PY.sequence_ratio_udf("a", "b").alias("r")).collect()]
