@@ -1,6 +1,6 @@
 """Roll-ups of evaluation rows: lanes, pairs, breakdowns, runs, ranks and funnels.
 
-Every summary is one hash aggregation with partial sums; no metric takes a pass of its own.
+Every summary is one hash aggregation with partial sums; only exact medians take passes of their own.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_rate
 from .filters import without_errors
+from .selection import medians
 
 #: Error names that show a call to something that does not exist; a fixed list.
 API_ERROR_MARKERS = ("ModuleNotFoundError", "ImportError", "AttributeError", "NameError")
@@ -38,31 +39,53 @@ def sum_once_per_key(df: DataFrame, key: str, order: str, *values: str) -> DataF
     return last.agg(F.count("*").alias("keys"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
 
 
-def lane_summary(rows: DataFrame, languages: Sequence[str] | None = None, *by: str) -> DataFrame:
-    """The twenty metrics of each language, error rows aside (counted in error_rows).
-
-    rows: language, kind (code or explanation), technical_pass, format_compliant, side_effect_free,
-    language_adherent, inference_seconds, completion_tokens, error. Rates are rounded to four digits, half to even.
-    """
+def lane_counters() -> dict[str, Column]:
+    """What a lane's summary is made of, but for the medians: counts and sums, so that parts can be added up."""
     ok = F.coalesce(F.col("error"), F.lit("")) == ""
     code, prose = ok & (F.col("kind") == "code"), ok & (F.col("kind") == "explanation")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     seconds, tokens = F.when(ok, F.col("inference_seconds")), F.when(ok, F.col("completion_tokens"))
-    rows = rows.where(F.col("language").isin(*languages)) if languages else rows
-    n = rows.groupBy("language", *by).agg(
-        count(ok).alias("responses"), count(~ok).alias("error_rows"),
-        count(code & F.col("technical_pass")).alias("code_passed"), count(code).alias("code_total"),
-        count(code & F.col("format_compliant")).alias("format_compliant"), count(code & F.col("side_effect_free")).alias("side_effect_free"),
-        count(prose & F.col("technical_pass")).alias("explanations_passed"), count(prose).alias("explanations_total"),
-        count(ok & F.col("technical_pass")).alias("overall_passed"), count(ok).alias("overall_total"),
-        count(ok & F.col("language_adherent")).alias("language_adherent"),
-        F.bround(F.avg(seconds), 3).alias("mean_inference_seconds"), F.bround(F.median(seconds), 3).alias("median_inference_seconds"),
-        F.bround(F.avg(tokens), 2).alias("mean_completion_tokens"), F.coalesce(F.sum(tokens), F.lit(0)).alias("total_completion_tokens"),
-    )
+    return {
+        "responses": count(ok), "error_rows": count(~ok), "code_passed": count(code & F.col("technical_pass")), "code_total": count(code),
+        "format_compliant": count(code & F.col("format_compliant")), "side_effect_free": count(code & F.col("side_effect_free")),
+        "explanations_passed": count(prose & F.col("technical_pass")), "explanations_total": count(prose),
+        "overall_passed": count(ok & F.col("technical_pass")), "overall_total": count(ok), "language_adherent": count(ok & F.col("language_adherent")),
+        "seconds_sum": F.sum(seconds), "seconds_count": F.count(seconds), "tokens_count": F.count(tokens), "total_completion_tokens": F.coalesce(F.sum(tokens), F.lit(0)),
+    }
+
+
+def lane_metrics(counters: DataFrame) -> DataFrame:
+    """The summary's columns from counters and median_inference_seconds. Rates are rounded to four digits, half to even."""
     rates = {"code_pass_rate": ("code_passed", "code_total"), "format_compliance_rate": ("format_compliant", "code_total"), "side_effect_free_rate": ("side_effect_free", "code_total"), "explanation_pass_rate": ("explanations_passed", "explanations_total"), "overall_pass_rate": ("overall_passed", "overall_total"), "language_adherence_rate": ("language_adherent", "overall_total")}
+    n = counters.withColumns({
+        "mean_inference_seconds": F.bround(F.try_divide("seconds_sum", "seconds_count"), 3), "median_inference_seconds": F.bround("median_inference_seconds", 3),
+        "mean_completion_tokens": F.bround(F.try_divide("total_completion_tokens", "tokens_count"), 2),
+    }).drop("seconds_sum", "seconds_count", "tokens_count")
     return n.withColumns({k: safe_rate(F.col(a), F.col(b)) for k, (a, b) in rates.items()})
 
 
+def lane_summary(rows: DataFrame, languages: Sequence[str] | None = None, *by: str) -> DataFrame:
+    """The twenty metrics of each language, error rows aside (counted in error_rows).
+
+    rows: language, kind (code or explanation), technical_pass, format_compliant, side_effect_free,
+    language_adherent, inference_seconds, completion_tokens, error. Medians come from ``selection``.
+    """
+    rows = rows.where(F.col("language").isin(*languages)) if languages else rows
+    keys = ["language", *by]
+    counters = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in lane_counters().items()])
+    seconds = F.when(F.coalesce(F.col("error"), F.lit("")) == "", F.col("inference_seconds"))
+    return lane_metrics(_with_medians(counters, medians(rows, seconds, keys, "median_inference_seconds"), keys))
+
+
+def _with_medians(groups: DataFrame, middle: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The groups, which are as many as there are medians, each with its own."""
+    other = middle.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return groups.join(other, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def complete_sets(rows: DataFrame, languages: Sequence[str], task: str = "task_id") -> DataFrame:
     """Tasks with a row in every language: one row each, with all_pass and a column pass_LANGUAGE per language."""
     own = without_errors(rows).where(F.col("language").isin(*languages))
@@ -121,7 +144,8 @@ def marker_rate(df: DataFrame, text: Column, markers: Sequence[str], *by: str) -
 
 def telemetry(df: DataFrame, speed: str, memory: str, *by: str, digits: int = 2) -> DataFrame:
     """Per group: the number of runs, the median speed, the highest memory, rounded to ``digits``."""
-    return df.groupBy(*by).agg(F.count("*").alias("profiler_runs"), F.bround(F.median(speed), digits).alias("median_tps"), F.bround(F.max(memory), digits).alias("highest_peak_rss_mb"))
+    runs = df.groupBy(*by).agg(F.count("*").alias("profiler_runs"), F.bround(F.max(memory), digits).alias("highest_peak_rss_mb"))
+    return _with_medians(runs, medians(df, F.col(speed), by, "median_tps"), by).withColumn("median_tps", F.bround("median_tps", digits))
 
 
 def accuracy(rates: Mapping[str, Column]) -> Column:

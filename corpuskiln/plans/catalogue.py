@@ -842,4 +842,4 @@ def contract_relock(spark, d):
     return t(spark, d, "documents").select("doc_id", X.relocked(prompt, translated, r"^Implement (.+?)\. Requirement: .*$", r"\b(?:mahitaji|hitaji)\s*:\s*", "Do {signature}. Sharti: {requirement}").alias("locked"))
 
 
-from . import more, programs  # noqa: E402, F401  (registers the rest)
+from . import incremental, more, programs  # noqa: E402, F401  (registers the rest)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import cache_misses
+from . import files
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -30,19 +31,14 @@ def write_array(df: DataFrame, path: str, *order: str) -> None:
 def write_file(row: DataFrame, path: str) -> None:
     """The text of a one-row frame (value) as one file named ``path``, which appears whole or not at all.
 
-    It is written beside, under a name of its own, and renamed; an older file of the name goes.
+    It is written beside, under a name of its own, and takes the place of an older file of the name by one rename.
     """
     spark = row.sparkSession
     part = f"{path}.{uuid.uuid4().hex}"
     row.coalesce(1).write.option("lineSep", "\n").text(part)
-    paths = spark._jvm.org.apache.hadoop.fs
-    target, folder = paths.Path(path), paths.Path(part)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    written = fs.globStatus(paths.Path(f"{part}/part-*"))[0].getPath()
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(written, target)
-    fs.delete(folder, True)
+    written = next(n for n in files.names(spark, part) if n.startswith("part-"))
+    files.rename(spark, f"{part}/{written}", path, overwrite=True)
+    files.delete(spark, part)
 
 
 def write_blocks(df: DataFrame, block: str, order: Sequence[str], path: str) -> None:

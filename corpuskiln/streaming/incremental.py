@@ -1,26 +1,32 @@
 """Incremental evaluation as Structured Streaming: resume, skip what is done, keep the summary current.
 
-A stream with a checkpoint takes up where it stopped; a batch that runs again changes nothing, as each
-batch writes the rows of its own folder and only keys not done before.
+What is done, seen or summed lies in the state store, by key: a batch reads and writes the state of its own keys only, so its
+work does not grow with what came before. A stream with a checkpoint takes up where it stopped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.text import sha256
-from ..operators.joins import pending
+from ..operators.evaluation import lane_counters, lane_metrics
+from ..sources.snapshots import Snapshots, newest_by
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 24 * 60 * 60 * 1000
 
 
 def run_key(config: dict) -> str:
     """A hash of all settings of a run; results of other settings are never resumed."""
-    import hashlib
-    import json
-
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
 
 
@@ -28,37 +34,128 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json",
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
-def _done(spark: SparkSession, out: str, key: Sequence[str], schema, batch: int) -> DataFrame:
-    """Keys that earlier batches wrote."""
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """A query started while this holds keeps its state in RocksDB, which state by key with timers and expiry needs."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
     try:
-        return spark.read.parquet(out).where(F.col("batch") < batch).select(*key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], schema).select(*key)
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
 
+def _least(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame | None:
+    """The row of the lowest order; frames of a key come one after the other."""
+    best = None
+    for frame in rows:
+        one = frame.sort_values(order, kind="stable").head(1)
+        if best is None or len(one) and one[order].iloc[0] < best[order].iloc[0]:
+            best = one
+    return best
 
-def resume(stream: DataFrame, key: Sequence[str], work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Starts a query that applies ``work`` to the rows whose key is not in ``out`` yet and writes the results there, by batch.
 
-    A batch's folder is overwritten when the batch runs again, so every key is there once. Stops when the input is used up.
+class _Once(StatefulProcessor):
+    """Gives what ``work`` makes of the first row of a key that is not done, and has the key done unless the result has an error.
+
+    A key is forgotten when the watermark is ``keep_ms`` beyond the row that made it done.
     """
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        todo = pending(rows.dropDuplicates(list(key)), _done(rows.sparkSession, out, key, rows.schema, batch), *key)
-        work(todo).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    def __init__(self, key: Sequence[str], order: str, time: str, keep_ms: int, work: Callable[[pd.DataFrame], pd.DataFrame] | None = None, error: str = ""):
+        self.key, self.order, self.time, self.keep_ms, self.work, self.error = key, order, time, keep_ms, work, error
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = _least(rows, self.order)
+        if first is None or self.done.exists():
+            return
+        # The frames come without the key's columns.
+        made = self.work(first.assign(**dict(zip(self.key, key)))) if self.work else first
+        if self.error not in made or made[self.error].fillna("").eq("").all():
+            self.done.update((True,))
+            self.handle.registerTimer(int(pd.Timestamp(first[self.time].iloc[0]).value // 1_000_000) + self.keep_ms)
+        yield made
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.done.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def running_summary(stream: DataFrame, summarize: Callable[[DataFrame], DataFrame], name: str, checkpoint: str) -> StreamingQuery:
-    """Keeps an aggregation of all rows so far in the memory table ``name``: state holds its groups, not the rows."""
-    return summarize(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def resume(stream: DataFrame, run: str, key: Sequence[str], order: str, time: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, out: str, checkpoint: str, error: str = "error", keep_days: int = 30) -> StreamingQuery:
+    """Starts a query that works on the keys of the stream that are not done in ``run`` and appends the results, of ``schema``, to ``out``.
+
+    Of a batch's rows of a key the one of the lowest ``order`` is taken; ``work`` gets it as a frame. A result whose ``error`` is not empty
+    is written, but its key is tried again when it next comes. A key stays done, in the state store under the run's key, until the
+    watermark, ``keep_days`` behind the latest ``time``, is as much beyond it; rows behind the watermark are dropped. Another run starts
+    afresh. Results are written once, whatever is repeated after a failure. Stops when the input is used up.
+    """
+    processor = _Once(["run", *key], order, time, keep_days * DAY_MS, work, error)
+    keyed = stream.withColumn("run", F.lit(run)).withWatermark(time, f"{keep_days} days").groupBy("run", *key)
+    made = keyed.transformWithStateInPandas(processor, schema, "append", "EventTime")
+    with keyed_state(stream.sparkSession):
+        return made.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+
+def first_seen(stream: DataFrame, text: str, order: str, time: str, delay_days: int = 1) -> DataFrame:
+    """The first row of each text, whatever its case and white space: of the first batch that has it, the one of the lowest ``order``.
+
+    State has 128 bits of hashes a text, not the text, and is bounded by the watermark, ``delay_days`` behind the latest time seen.
+    A duplicate within that time after the first row is dropped; a row behind the watermark is dropped, be it a duplicate or not; a
+    text that comes again later counts as new. To be started within ``keyed_state``.
+    """
+    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    keyed = stream.withColumn("_k1", F.xxhash64(plain)).withColumn("_k2", F.xxhash64(F.lit("second"), plain)).withWatermark(time, f"{delay_days} days")
+    return keyed.groupBy("_k1", "_k2").transformWithStateInPandas(_Once(["_k1", "_k2"], order, time, delay_days * DAY_MS), stream.schema, "append", "EventTime")
+
+
+# Running summary -----------------------------------------------------------------------------------------
+
+#: Commits between two merges of the summary's table.
+MERGE_EVERY = 16
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Counters by lane, and counts by lane and value: the order statistics that a median needs, a group for each value."""
+    ok = F.coalesce(F.col("error"), F.lit("")) == ""
+    cell = F.inline(F.array(F.struct(F.lit(False).alias("is_value"), F.lit(None).cast("double").alias("value")), F.struct(F.lit(True).alias("is_value"), F.when(ok, F.col("inference_seconds")).alias("value"))))
+    return rows.select("*", cell).groupBy("language", "is_value", "value").agg(*[c.alias(k) for k, c in lane_counters().items()])
+
+
+def _summary_table(spark: SparkSession, out: str) -> Snapshots:
+    schema = _cells(spark.createDataFrame([], "language string, kind string, technical_pass boolean, format_compliant boolean, side_effect_free boolean, language_adherent boolean, inference_seconds double, completion_tokens long, error string")).schema
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    return Snapshots(spark, out, f"{columns}, batch long", newest_by(["language", "is_value", "value"], "batch"))
+
+
+def running_summary(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the lanes' counters and value counts of all rows so far in the table ``out``.
+
+    A batch gives only the groups that it changed, in update mode, and commits them once: its number marks the commit, so a batch that
+    runs again adds nothing. Every ``MERGE_EVERY`` commits the newest row of each group is kept.
+    """
 
-def first_seen(stream: DataFrame, text: str, time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """The first row of each text; with a time column only within the delay, which bounds the state."""
-    keyed = stream.withColumn("seen_key", sha256(F.lower(F.regexp_replace(text, r"(?U)\s+", " "))))
-    if time:
-        return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["seen_key"])
-    return keyed.dropDuplicates(["seen_key"])
+    def handle(changed: DataFrame, batch: int) -> None:
+        table = _summary_table(changed.sparkSession, out)
+        table.append(changed.withColumn("batch", F.lit(batch).cast("long")), mark=str(batch))
+        table.compact(MERGE_EVERY)
+
+    return _cells(stream).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_summary(spark: SparkSession, out: str) -> DataFrame:
+    """The summary of each language as it stands, as ``evaluation.lane_summary`` gives it."""
+    table = _summary_table(spark, out)
+    cells = table.merge(table.read())
+    lanes = cells.where("NOT is_value").drop("is_value", "value", "batch")
+    wanted = lanes.select(F.col("language").alias("_l"), F.expr("(seconds_count + 1) div 2").alias("_r1"), F.expr("seconds_count div 2 + 1").alias("_r2"))
+    upto = F.sum("seconds_count").over(W.partitionBy("language").orderBy("value"))
+    values = cells.where("is_value AND value IS NOT NULL").select("language", "value", upto.alias("_upto"))
+    reached = lambda r: F.min(F.when(F.col("_upto") >= F.col(r), F.col("value")))
+    middle = values.join(wanted, F.col("language").eqNullSafe(F.col("_l"))).groupBy("_l").agg(((reached("_r1") + reached("_r2")) / 2).alias("median_inference_seconds"))
+    return lane_metrics(lanes.join(middle, F.col("language").eqNullSafe(F.col("_l")), "left").drop("_l"))

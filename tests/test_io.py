@@ -70,32 +70,5 @@ def test_blocks(spark, tmp_path):
     assert "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*"))).split() == ["a", "b"]
 
 
-def test_streams_resume(spark, tmp_path):
-    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    schema = "task string, language string, value int"
-    work = lambda df: df.withColumn("passed", F.col("value") > 1)
-
-    def add(*rows):
-        spark.createDataFrame(list(rows), schema).write.mode("append").json(source)
-
-    def go():
-        incremental.resume(incremental.read_stream(spark, source, schema), ["task", "language"], work, out, check).awaitTermination()
-        return sorted((r.task, r.value, r.passed) for r in spark.read.parquet(out).collect())
-
-    add(("a", "en", 1), ("b", "en", 2))
-    assert go() == [("a", 1, False), ("b", 2, True)]
-    add(("b", "en", 5), ("c", "en", 3))
-    assert go() == [("a", 1, False), ("b", 2, True), ("c", 3, True)]
-    assert go() == [("a", 1, False), ("b", 2, True), ("c", 3, True)]
-
-
-def test_running_summary(spark, tmp_path):
-    source, schema = str(tmp_path / "in"), "text string, v int"
-    spark.createDataFrame([("A  b", 1), ("a b", 2), ("c", 3)], schema).coalesce(1).write.json(source)
-    stream = incremental.first_seen(incremental.read_stream(spark, source, schema), "text")
-    incremental.running_summary(stream, lambda df: df.groupBy().agg(F.count("*").alias("n")), "seen", str(tmp_path / "c")).awaitTermination()
-    assert spark.table("seen").first().n == 2
-
-
 def test_run_key():
     assert incremental.run_key({"a": 1, "b": 2}) == incremental.run_key({"b": 2, "a": 1}) != incremental.run_key({"a": 1, "b": 3})
