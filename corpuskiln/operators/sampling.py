@@ -1,7 +1,7 @@
 """Deterministic splits, quotas, samples and expansions.
 
-Order is by hash of a seed and the key, so results do not depend on partitioning. Ranks in that order are
-taken in hash ranges whose counts are summed first: no window holds more than a small part of a lane.
+Order is by hash of a seed and the key, so results do not depend on partitioning. Ranks in that order come from
+sorted ranges and offsets (``ranks``): no window holds a lane or a part of one.
 """
 
 from __future__ import annotations
@@ -13,10 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-
-#: Hex digits of the hash that cut the order into ranges.
-RANGE_DIGITS = 2
-
+from .ranks import ranked
 
 def split(key: Column, buckets: int = 20) -> Column:
     """"validation" for bucket 0 of ``buckets``, else "train"; all rows of a key lie on one side."""
@@ -25,17 +22,7 @@ def split(key: Column, buckets: int = 20) -> Column:
 
 def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """df with each row's place, from 1, in hash order within ``by``. Ties of the key keep any order among themselves."""
-    order = X.hash_order(F.col(key), seed)
-    keyed = df.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS))
-    group = [*by, "_range"]
-    counts = keyed.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    counts = counts.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(group)], "_before")
-    same = [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(group)]
-    joined = keyed.join(counts, same)
-    inside = F.row_number().over(W.partitionBy(*group).orderBy("_order", key))
-    return joined.withColumn(name, F.col("_before") + inside).select(*df.columns, name)
+    return ranked(df.withColumn("_order", X.hash_order(F.col(key), seed)), ["_order", key], by, name).select(*df.columns, name)
 
 
 def quotas(total: int, ratios: Mapping[str, float], rest: str) -> dict[str, int]:

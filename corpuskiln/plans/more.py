@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import python_code as PY
 from ..functions import text as X
-from ..operators import evaluation, filters, gates, joins, projections, sampling, similarity
+from ..operators import documents, evaluation, filters, gates, glossary, joins, projections, sampling, similarity, validation
+from ..operators.ranks import ranked
 from ..session import shared_folder
 from ..sources import readers, writers
 from . import settings as S
-from .catalogue import BUCKET, STRIP, _evidence_sql, answers, in_order, normalized, query, sql_list, t
+from .catalogue import BODY, BUCKET, FENCED, SQL, STRIP, _evidence_sql, answers, gate_metrics, in_order, normalized, query, sql_list, t
 
 # Sources and sinks: written to the shared folder and read back ---------------------------------------
 
@@ -274,3 +275,81 @@ def unseen_requirements(spark, d):
     """The documents that paraphrase no benchmark passage."""
     seen = normalized(spark, d, "benchmark", "item_id")
     return similarity.without_paraphrases(normalized(spark, d), seen, "words").select("doc_id")
+
+
+def role_documents(spark, d):
+    """The evaluation documents of base and candidate, written as files without a schema and read back by role."""
+    m = gate_metrics(spark, d)
+    folder, lit = shared_folder(spark), F.lit
+    made = {}
+    for side, name in documents.SIDES.items():
+        x = lambda k: F.col(f"{side}_{k}")  # noqa: B023, E731
+        lane = lambda rate, adherence, code: F.struct(rate.alias("overall_pass_rate"), code.alias("code_pass_rate"), x("fmt").alias("format_compliance_rate"), adherence.alias("language_adherence_rate"))  # noqa: B023, E731
+        languages = F.struct(lane(x("en"), lit(1.0), x("en_code")).alias("en"), lane(x("sw"), x("adh_sw"), lit(0.5)).alias("sw"), lane(x("sw_mix"), x("adh_mix"), lit(0.5)).alias("sw_mix"))
+        made[f"{name}_paired"] = F.struct(lit(True).alias("model_only"), lit("direct").alias("application_prompt_strategy"), lit(False).alias("self_review"), F.struct(languages.alias("languages")).alias("summary"))
+        made[f"{name}_repairs"] = F.struct(F.struct(x("p1").alias("pass_at_1"), x("p2").alias("pass_at_2"), lit(1).alias("total")).alias("summary"))
+        made[f"{name}_profiler"] = F.struct(F.struct((10 * x("tps")).alias("tokens_per_second_generation")).alias("throughput"), F.struct((8000 * x("rss")).alias("peak_rss_mb")).alias("memory"))
+    for role, document in made.items():
+        writers.write_file(m.select(F.to_json(document).alias("value")), f"{folder}/{role}.json")
+    return documents.read_by_role(spark, {role: f"{folder}/{role}.json" for role in made})
+
+
+@query(SQL["checkpoint_gate"])
+def checkpoint_gate_of_documents(spark, d):
+    return gates.check_rows(documents.checkpoint_gate(role_documents(spark, d)))
+
+
+@query(SQL["release_gate"])
+def release_gate_of_documents(spark, d):
+    return gates.check_rows(documents.release_gate(role_documents(spark, d)))
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, source, lang, coalesce(quality = 1, false) AS good, {FENCED} AS answer, sha256({STRIP}) AS declared, {BUCKET.format('CAST(doc_id AS VARCHAR)')} = 0 AS held FROM documents LEFT JOIN labels USING (doc_id)),
+g AS (SELECT source, list_sort(list(DISTINCT lang)) AS lanes, count(DISTINCT declared) AS hashes, bool_or(held) AND bool_or(NOT held) AS leaks, bool_and(sha256({BODY}) = declared) AS locked FROM a GROUP BY source),
+u AS (SELECT lang, count(DISTINCT source) AS n FROM a GROUP BY lang),
+r AS (SELECT unnest({sql_list(S.LANES)}) AS lang, unnest({[S.RATIOS[x] for x in S.LANES]}) AS share)
+SELECT "check", CAST(n AS BIGINT) AS n FROM (
+SELECT unnest(['empty', 'too_few', 'message_roles', 'message_content', 'parallel_family', 'explanation', 'repeated_words']) AS "check", 0 AS n
+UNION ALL SELECT 'lane_unexpected', count_if(lang NOT IN (SELECT lang FROM r)) FROM a UNION ALL SELECT 'quality', count_if(NOT good) FROM a
+UNION ALL SELECT 'lane_missing', count_if(lang NOT IN (SELECT lang FROM a)) FROM r
+UNION ALL SELECT 'lane_ratio', count_if((SELECT count(*) FROM a WHERE a.lang = r.lang) <> round_even((SELECT count(*) FROM a) * share, 0)) FROM r
+UNION ALL SELECT 'split_leakage', count_if(leaks) FROM g UNION ALL SELECT 'lane_set', count_if(lanes <> {sql_list(S.LANES)}) FROM g
+UNION ALL SELECT 'declared_hash', count_if(hashes <> 1) FROM g UNION ALL SELECT 'code_lock', count_if(NOT locked) FROM g
+UNION ALL SELECT 'unique_explanations', count_if(n < greatest(1, round_even((SELECT count(*) FROM g) * 0.9, 0))) FROM u)
+""")
+def validated_write(spark, d):
+    """What a data set of all documents fails, check by check; since it does, nothing is left of it."""
+    a = answers(spark, d).join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    rows = a.select(F.col("doc_id").alias("key"), F.col("source").alias("family"), sampling.split(F.col("doc_id").cast("string")).alias("split"), F.col("lang").alias("language"), F.array(message("user", F.col("source")), message("assistant", F.col("answer"))).alias("messages"), X.sha256(X.strip(F.col("code"))).alias("declared"), "quality")
+    rules = validation.Rules(languages=S.LANES, ratios=S.RATIOS, declared="declared", row_checks={"quality": F.col("quality") == 1})
+    report = validation.write_validated(rows, f"{shared_folder(spark)}/set", rules)
+    return spark.createDataFrame(list(report.failed.items()), "check string, n long")
+
+
+@query("SELECT CAST(event_id % 50 + 1 AS INTEGER) AS number, 't' || event_id AS task, event_type AS language, CASE WHEN event_id % 7 > 0 THEN value > 20 END AS passed, CASE WHEN event_id % 7 > 0 THEN round(value, 1) END AS seconds FROM events")
+def log_sessions(spark, d):
+    """Logs of runs, a seventh of whose tasks broke off: each task with its verdict, from files that are read in many pieces."""
+    path = shared_folder(spark)
+    head = F.format_string("[%02d/50] t%d %s", F.col("event_id") % 50 + 1, F.col("event_id"), F.col("event_type"))
+    verdict = F.concat(F.lit("\n  "), F.when(F.col("value") > 20, "PASS").otherwise("FAIL"), F.lit(" | "), F.round("value", 1).cast("string"), F.lit("s"))
+    text = F.concat(head, F.lit("\nloading"), F.when(F.col("event_id") % 7 > 0, verdict).otherwise(""))
+    t(spark, d, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select(text.alias("value")).write.text(path)
+    return readers.read_sessions(spark, path).select("number", "task", "language", "passed", "seconds")
+
+
+def phrase_table(spark, d):
+    """A glossary made from the tables: the longer words of the benchmark and the first three words of each document, in alphabetical order."""
+    words = lambda text, least: F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\w{{{least},}}"), F.lit(0))
+    longer = t(spark, d, "benchmark").select(F.explode(words(F.col("text"), 6)).alias("phrase"))
+    openings = t(spark, d, "documents").select(F.regexp_extract(F.lower("text"), r"(?U)\w+ \w+ \w+", 0).alias("phrase"))
+    phrases = longer.unionByName(openings).where("phrase <> ''").distinct()
+    return ranked(phrases, ["phrase"], name="ordinal").select("ordinal", "phrase", F.concat(F.lit("<"), F.col("phrase"), F.lit(">")).alias("value"))
+
+
+@query()
+def glossary_substitute(spark, d):
+    """All texts with the phrases of a glossary table replaced."""
+    made = glossary.substituted(t(spark, d, "documents").select("doc_id", "text"), phrase_table(spark, d), "doc_id", "text")
+    return made.select("doc_id", "replaced", F.array_join("hits", "|").alias("hits"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """One record per line; blank lines are skipped, a bad line fails the job."""
@@ -93,3 +96,27 @@ def parse_progress(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return parse_progress(spark.read.text(path).withColumn("file", F.input_file_name()))
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """A row per task line of the logs, with the first verdict that follows it before the next task line, wherever Spark splits the files.
+
+    Columns: file, block and line (the order in a file), number, total, task, language, passed, seconds; the last two are null without a verdict.
+    Lines are numbered within the blocks that Spark reads. A task is carried on to later lines of its block; for verdicts before the
+    first task line of a block, one row per block says which task was the last before it, so no window holds a file's lines.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("line", F.monotonically_increasing_id())
+    # Numbered as read, so written once: a second reading could number other lines.
+    parsed = checkpointed(parse_progress(lines)).withColumn("is_task", F.col("task").isNotNull())
+    here = W.partitionBy("file", "block").orderBy("line")
+    carried = F.last(F.when(F.col("is_task"), F.struct("block", "line")), ignorenulls=True)
+    parsed = parsed.withColumn("owner", carried.over(here.rowsBetween(W.unboundedPreceding, 0)))
+    last = parsed.groupBy("file", "block").agg(F.max(F.when(F.col("is_task"), F.struct("block", "line"))).alias("last"))
+    last = last.withColumn("earlier", F.last("last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
+    last = last.select(F.col("file").alias("f"), F.col("block").alias("b"), "earlier")
+    verdicts = parsed.where("NOT is_task").join(last, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    verdicts = verdicts.select("file", F.coalesce("owner", "earlier").alias("owner"), F.struct("block", "line").alias("place"), F.struct("passed", "seconds").alias("verdict"))
+    verdicts = verdicts.groupBy(F.col("file").alias("f"), F.col("owner").alias("of")).agg(F.min_by("verdict", "place").alias("verdict"))
+    tasks = parsed.where("is_task").withColumn("own", F.struct("block", "line")).withColumnRenamed("passed", "at_once").drop("seconds")
+    joined = tasks.join(verdicts, (F.col("file") == F.col("f")) & (F.col("own") == F.col("of")), "left")
+    return joined.select("file", "block", "line", "number", "total", "task", "language", F.coalesce("at_once", "verdict.passed").alias("passed"), F.col("verdict.seconds").alias("seconds"))
