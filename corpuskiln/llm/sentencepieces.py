@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, text_chunks
 
 SPACE = "▁"
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+MULTIPLIER, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 PREFIX_BITS = 20
 MEMO_WORDS = 300_000
 CHUNK = 6 << 20
-#: Longer words are merged one by one.
+#: Longer words are cut where no piece crosses; parts that are longer still are merged one by one.
 LONG_WORD = 128
+#: Characters of a long word that are looked at together.
+BLOCK = 1 << 18
 
 
 def code_points(words: list[str]) -> np.ndarray:
@@ -44,9 +47,16 @@ def code_points(words: list[str]) -> np.ndarray:
 
 def prefix_hashes(points: np.ndarray) -> np.ndarray:
     """Column j: the hash of the first j code points; hash of [i, j) is H[j] - H[i] * M ** (j - i)."""
-    out = np.zeros((points.shape[0], points.shape[1] + 1), np.uint64)
-    for j in range(points.shape[1]):
-        out[:, j + 1] = out[:, j] * MULTIPLIER + (points[:, j].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    words, length = points.shape
+    out = np.zeros((words, length + 1), np.uint64)
+    if length > 64 * words:
+        # A few long rows: H[j] is M ** (j - 1) times a running sum, modulo 2 ** 64, where M has an inverse.
+        one = np.ones(min(length, 1), np.uint64)
+        power, back = (np.cumprod(np.r_[one, np.full(max(length - 1, 0), m, np.uint64)]) for m in (MULTIPLIER, INVERSE))
+        out[:, 1:] = np.cumsum((points.astype(np.uint64) + np.uint64(1)) * SPREAD * back, axis=1) * power
+        return out
+    for j in range(length):
+        out[:, j + 1] = out[:, j] * MULTIPLIER + (points[:, j].astype(np.uint64) + np.uint64(1)) * SPREAD
     return out
 
 
@@ -189,6 +199,27 @@ def merged_long(points: np.ndarray, p: Pieces) -> np.ndarray:
     return _ids(p, points, hashes, powers, np.zeros(len(start), np.int64), start, np.array(ends)[start], 1)[0]
 
 
+def apart(points: np.ndarray, p: Pieces) -> np.ndarray:
+    """The places of one long word that no piece of it crosses, so that no merge does: what lies between two is merged on its own.
+
+    Every merge makes a piece, so a place inside no occurrence of one stays a border. Found block by block, in memory that does not grow
+    with the word but for a mark per character.
+    """
+    length = points.shape[1]
+    crossed = np.zeros(length + 1, np.int32)
+    powers = np.cumprod(np.full(p.longest + 1, MULTIPLIER, np.uint64))
+    for begin in range(0, length, BLOCK):
+        hashes = prefix_hashes(points[:, begin : begin + BLOCK + p.longest])[0]
+        for n in range(2, min(p.longest, len(hashes) - 1) + 1):
+            sub = hashes[n:][:BLOCK] - hashes[:-n][:BLOCK] * powers[n - 1]
+            likely = np.flatnonzero(p.prefixes[sub >> np.uint64(64 - PREFIX_BITS)])
+            at = begin + likely[p.find(sub[likely]) >= 0]
+            # One piece of a length begins at a place, so places are distinct.
+            crossed[at + 1] += 1
+            crossed[at + n] -= 1
+    return np.flatnonzero(np.cumsum(crossed)[1:length] == 0) + 1
+
+
 def viterbi(points: np.ndarray, p: Pieces) -> list[np.ndarray]:
     """The best segmentation of each row: piece ids, with -1 - code point for an unknown character."""
     words, length = points.shape
@@ -251,7 +282,7 @@ class Codec:
                 if self.method == "viterbi":
                     found = viterbi(points, self.pieces)
                 elif length > LONG_WORD:
-                    found = [merged_long(points[i : i + 1], self.pieces) for i in range(len(points))]
+                    found = [self._long(points[i : i + 1]) for i in range(len(points))]
                 else:
                     found = merged(points, self.pieces)
                 for word, ids in zip(part, found):
@@ -259,6 +290,24 @@ class Codec:
                         ids = np.array([x for i in ids for x in ([i] if i >= 0 else [self.pieces.byte_ids[b] for b in chr(-1 - i).encode()])])
                     self.memo[word] = ids.astype("<i4").tobytes()
 
+    def _long(self, points: np.ndarray) -> np.ndarray:
+        """A long word in the parts that no piece crosses: those of equal length are merged together, what is still long alone."""
+        length = points.shape[1]
+        edge = np.r_[0, apart(points, self.pieces), length]
+        size = np.diff(edge)
+        ids: list[np.ndarray | None] = [None] * len(size)
+        for n in np.unique(size):
+            same = np.flatnonzero(size == n)
+            if n > LONG_WORD:
+                for k in same:
+                    ids[k] = merged_long(points[:, edge[k] : edge[k + 1]], self.pieces)
+                continue
+            for at in range(0, len(same), max(1, BLOCK // int(n))):
+                part = same[at : at + max(1, BLOCK // int(n))]
+                for k, x in zip(part, merged(points[0][edge[part][:, None] + np.arange(n)], self.pieces)):
+                    ids[k] = x
+        return np.concatenate(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The piece ids of each text as little-endian 32-bit integers."""
         units = [self.unit.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,27 @@ def test_long_words(library):
     assert ids(codec, " " * 300 + "x") == library.encode(" " * 300 + "x")
 
 
+@pytest.mark.parametrize("alphabet", ["漢字仮名交じり文の長い列を試す語彙外𠮷𡈽", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "กขคงจฉชซฌญ", "theaoin", "é漢a\u200b"])
+def test_unspaced_texts(library, alphabet, monkeypatch):
+    """Texts without spaces are cut where no piece crosses, whatever the blocks, and give the library's ids."""
+    rng = random.Random(len(alphabet))
+    codec = SP.Codec(SP.default_model())
+    for n in (129, 700, 4000):
+        text = "".join(rng.choice(alphabet) for _ in range(n))
+        for block in (1 << 18, 97):
+            monkeypatch.setattr(SP, "BLOCK", block)
+            codec.memo.clear()
+            assert ids(codec, text) == library.encode(text)
+
+
+def test_five_megabytes_without_a_space(library):
+    rng = random.Random(5)
+    text = "".join(rng.choice("漢字仮名交じり文の長い列を試す語彙外") for _ in range(1_700_000))
+    start = time.process_time()
+    got = ids(SP.Codec(SP.default_model()), text)
+    assert time.process_time() - start < 30 and got == library.encode(text)
+
+
 def best_score(word, scores, unknown):
     best = [0.0] + [-float("inf")] * len(word)
     for i in range(len(word)):
