@@ -168,10 +168,13 @@ def lane_ratios(spark, d):
 
 
 @query("""
-SELECT name, CAST(n AS BIGINT) AS n FROM (VALUES ('en', 6175), ('sw', 1900), ('sw_mix', 1425), ('train', 9500), ('validation', 500)) q(name, n)
+WITH s AS (SELECT count(*) AS t, CAST(round_even(count(*) * 0.05, 0) AS BIGINT) AS held FROM documents),
+q AS (SELECT t, held, t - held AS train, CAST(round_even((t - held) * 0.65, 0) AS BIGINT) AS en, CAST(round_even((t - held) * 0.2, 0) AS BIGINT) AS sw FROM s)
+SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT unnest(['en', 'sw', 'sw_mix', 'train', 'validation']) AS name, unnest([en, sw, train - en - sw, train, held]) AS n FROM q)
 """)
 def quota_table(spark, d):
-    sizes = sampling.split_sizes(10_000, 0.05)
+    """The sizes of the split of all documents, and the lanes' quotas of its larger side."""
+    sizes = sampling.split_sizes(t(spark, d, "documents").count(), 0.05)
     rows = [*sampling.quotas(sizes["train"], {"en": 0.65, "sw": 0.20, "sw_mix": 0.15}, "sw_mix").items(), *sizes.items()]
     return spark.createDataFrame(rows, "name string, n long")
 
@@ -555,9 +558,16 @@ def rubric_grade(spark, d):
     return t(spark, d, "documents").select("doc_id", (share >= 0.75).alias("passed"), F.bround(share, 4).alias("score"))
 
 
-@query("SELECT 'format_' || CASE WHEN n <= 20 THEN 'fence' WHEN n <= 35 THEN 'json' ELSE 'bullets' END || '_' || lpad(CAST(n AS VARCHAR), 2, '0') AS id, CASE WHEN n <= 20 THEN 'exact_fence' WHEN n <= 35 THEN 'exact_json' ELSE 'exact_bullets' END AS contract, ['en', 'sw', 'sw_mix'][(n - 1) % 3 + 1] AS language, n AS ordinal FROM range(1, 51) r(n)")
+@query("""
+SELECT doc_id, 'format_' || CASE WHEN n <= 20 THEN 'fence' WHEN n <= 35 THEN 'json' ELSE 'bullets' END || '_' || lpad(CAST(n AS VARCHAR), 2, '0') AS id,
+  CASE WHEN n <= 20 THEN 'exact_fence' WHEN n <= 35 THEN 'exact_json' ELSE 'exact_bullets' END AS contract, ['en', 'sw', 'sw_mix'][(n - 1) % 3 + 1] AS language
+FROM (SELECT doc_id, doc_id % 50 + 1 AS n FROM documents)
+""")
 def format_probes(spark, d):
-    return readers.format_probes(spark, 20, 15, 15, ["en", "sw", "sw_mix"])
+    """Each document with its probe, of a table of fifty that the code holds."""
+    probes = readers.format_probes(spark, 20, 15, 15, ["en", "sw", "sw_mix"])
+    docs = t(spark, d, "documents").select("doc_id", (F.pmod("doc_id", F.lit(50)) + 1).alias("ordinal"))
+    return joins.lookup(docs, probes, "ordinal").select("doc_id", "id", "contract", "language")
 
 
 @query("SELECT event_id, event_id % 4 <> 3 AS passed, CASE event_id % 4 WHEN 3 THEN 'JSON keys or values changed' ELSE 'passed' END AS reason FROM events")

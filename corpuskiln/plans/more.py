@@ -353,3 +353,9 @@ def glossary_substitute(spark, d):
     """All texts with the phrases of a glossary table replaced."""
     made = glossary.substituted(t(spark, d, "documents").select("doc_id", "text"), phrase_table(spark, d), "doc_id", "text")
     return made.select("doc_id", "replaced", F.array_join("hits", "|").alias("hits"))
+
+
+@query("SELECT doc_id, source || chr(10) || chr(10) || 'It failed:' || chr(10) || right(text, 1200) || chr(10) || chr(10) || right(answer, 3000) || chr(10) || chr(10) || 'Try again.' AS prompt FROM (SELECT doc_id, source, text, " + FENCED + " AS answer FROM documents)")
+def retry_prompts(spark, d):
+    """Prompts for a second try, with the ends of the feedback and of the answer; the limits are the prompt's."""
+    return answers(spark, d).select("doc_id", projections.retry_prompt(F.col("source"), F.col("answer"), F.col("text"), "It failed:", "Try again.").alias("prompt"))
