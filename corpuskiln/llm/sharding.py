@@ -18,9 +18,9 @@ import hashlib
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from .common import table
 
 CELL_BITS = 12
@@ -66,20 +66,21 @@ RUNS = "_r_cell int, _r_first long, _r_last long, shard int, _r_slot long"
 def shard_rows(docs: DataFrame, shards: int, load: float = 1.0) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, size, text_crc32, shard, slot (gapless from 0 in a shard).
 
-    Size is the text's UTF-8 bytes plus 1 (null: 1). Rows with equal doc_id lie in the same cell,
-    as do those with a null doc_id; equal rows are interchangeable and each gets its own slot. An
-    empty table gives an empty result. The same rows give the same shards in any partitioning.
+    Size is the text's UTF-8 bytes plus 1 (null: 1). Rows with equal doc_id lie in the same cell, those with a null
+    doc_id in that of their text; equal rows are interchangeable and each gets its own slot. Ranks within a cell come from sorted
+    ranges and offsets, so a cell that holds a third of all rows is no single task. An empty table gives an empty result. The same
+    rows give the same shards in any partitioning.
     """
     spark = docs.sparkSession
-    place_of = F.xxhash64(F.col("doc_id").cast("long"))
+    place_of = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("text"), F.col("text"))).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
     cell = F.shiftrightunsigned(place_of, 64 - CELL_BITS).cast("int")
     counts = {r["cell"]: r["n"] for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
     runs = F.broadcast(spark.createDataFrame(place(counts, shards, load), RUNS))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place_of.alias("_at"), cell.alias("_cell"))
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_cell").orderBy("_at", "doc_id", "text_crc32", "size")))
+    placed = ranked(rows, ["_at", "doc_id", "text_crc32", "size"], ["_cell"], "_rank")
     held = (F.col("_cell") == F.col("_r_cell")) & F.col("_rank").between(F.col("_r_first"), F.col("_r_last"))
-    return ranked.join(runs, held).select("doc_id", "size", "text_crc32", "shard", (F.col("_r_slot") + F.col("_rank") - F.col("_r_first")).alias("slot"))
+    return placed.join(runs, held).select("doc_id", "size", "text_crc32", "shard", (F.col("_r_slot") + F.col("_rank") - F.col("_r_first")).alias("slot"))
 
 
 SHARDS = 8

@@ -50,3 +50,17 @@ def test_few_keys_move_when_bounds_are_loose():
     where = lambda n: {(c, r): s for c, a, b, s, _ in sharding.place(counts, n, 1.25) for r in range(a, b + 1)}
     before, after = where(8), where(9)
     assert sum(before[k] != after[k] for k in before) / len(before) < 0.3
+
+
+def test_a_third_of_the_rows_without_id_or_equal(spark):
+    """Null ids lie where their texts do; equal rows get slots of their own."""
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 300 + [(i, "x") for i in range(1000, 1300)] + [(None, None)] * 20
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, _at string, _cell string").repartition(5)
+    got = sharding.shard_rows(docs, 8).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == len(rows) and {len(x) for x in by.values()} == {115} and all(sorted(x) == list(range(115)) for x in by.values())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t or "") + 1, crc32((t or "").encode())) for i, t in rows)
+    key = lambda n: sorted((repr(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_rows(docs.repartition(n), 8).collect())
+    assert key(1) == key(9)
