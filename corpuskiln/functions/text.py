@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .python_code import dedented_udf
+from .python_code import compiles_whole_udf, dedented_udf
 
 LABELS = r"(?:python|py|javascript|js)"
 LABELLED_FENCE = rf"(?is)```{LABELS}\s*\n(.*?)```"
@@ -125,7 +125,7 @@ def forbidden_call(code: Column, names: Column) -> Column:
     ".name" is matched anywhere, "name" not inside a longer identifier.
     """
     name = lambda x: F.rtrim(F.regexp_replace(x, r"[(\s]+\z", ""))
-    pattern = lambda x: F.concat(F.when(F.startswith(x, F.lit(".")), F.lit("(?i)")).otherwise(F.lit(r"(?i)(?<![\w$])")), F.lit(r"\Q"), name(x), F.lit(r"\E\s*\("))
+    pattern = lambda x: F.concat(F.when(F.startswith(x, F.lit(".")), F.lit("(?iU)")).otherwise(F.lit(r"(?iU)(?<![\w$])")), F.lit(r"\Q"), name(x), F.lit(r"\E\s*\("))
     return F.get(F.filter(names, lambda x: F.rlike(code, pattern(x))), F.lit(0))
 
 
@@ -356,9 +356,16 @@ def lines_exact(text: Column, expected: Column) -> Column:
     return F.struct((reason == "passed").alias("passed"), reason.alias("reason"))
 
 
-def grade_format(contract: Column, text: Column, expected_text: Column, expected_lines: Column) -> Column:
-    """struct(passed, reason) by the contract's kind."""
-    return F.when(contract == "exact_fence", fence_exact(text, expected_text)).when(contract == "exact_json", json_exact(text, expected_text)).otherwise(lines_exact(text, expected_lines))
+def fence_compiled(text: Column, expected: Column) -> Column:
+    """As ``fence_exact``, and what was copied must compile as Python; it is not run."""
+    graded = fence_exact(text, expected)
+    failed = F.struct(F.lit(False).alias("passed"), F.lit("copied code does not compile").alias("reason"))
+    return F.when(graded["passed"] & ~compiles_whole_udf(expected), failed).otherwise(graded)
+
+
+def grade_format(contract: Column, text: Column, expected_text: Column, expected_lines: Column, compiled: bool = False) -> Column:
+    """struct(passed, reason) by the contract's kind; with ``compiled`` fenced code must also compile."""
+    return F.when(contract == "exact_fence", (fence_compiled if compiled else fence_exact)(text, expected_text)).when(contract == "exact_json", json_exact(text, expected_text)).otherwise(lines_exact(text, expected_lines))
 
 
 def share_matched(text: Column, patterns: Sequence[str]) -> Column:

@@ -359,3 +359,23 @@ def glossary_substitute(spark, d):
 def retry_prompts(spark, d):
     """Prompts for a second try, with the ends of the feedback and of the answer; the limits are the prompt's."""
     return answers(spark, d).select("doc_id", projections.retry_prompt(F.col("source"), F.col("answer"), F.col("text"), "It failed:", "Try again.").alias("prompt"))
+
+
+@query(rf"""
+SELECT doc_id, coalesce(a, b, {STRIP.replace('text', 'c')}) AS prompt, {STRIP} AS answer FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN source END AS a, CASE WHEN doc_id % 3 = 1 THEN lang END AS b, CASE WHEN doc_id % 3 = 2 THEN text END AS c FROM documents)
+""")
+def key_pairs(spark, d):
+    """Pairs that sources keep under one or another pair of names."""
+    m, text = F.col("doc_id") % 3, F.col("text")
+    docs = t(spark, d, "documents").select("doc_id", F.when(m == 0, F.concat(F.lit(" "), "source")).alias("query"), F.when(m < 2, text).alias("answer"), F.when(m == 1, F.concat("lang", F.lit("\n"))).alias("instruction"), F.when(m == 1, text).alias("output"), F.when(m == 2, text).alias("prompt"), F.when(m == 2, text).alias("response"))
+    return docs.select("doc_id", projections.extract_pair(docs).alias("p")).select("doc_id", "p.*")
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, replace(text, ',', ' (') AS code, regexp_extract_all(text, '[A-Za-z]{2,}')[1:8] AS names FROM documents)
+SELECT doc_id, list_filter(names, lambda n: regexp_matches(code, '(?i)(?:^|[^\p{L}\p{N}_$])' || n || '\s*\('))[1] AS forbidden FROM c
+""")
+def row_forbidden_calls(spark, d):
+    """Each row brings the names that its code may not call: here its first words; a comma in the text stands for a call."""
+    code, names = F.replace("text", F.lit(","), F.lit(" (")), F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)), 1, 8)
+    return t(spark, d, "documents").select("doc_id", X.forbidden_call(code, names).alias("forbidden"))

@@ -123,3 +123,10 @@ def register_chain(spark, d):
     kind = F.when(F.col("n_chars") > 800, "code").otherwise("explanation")
     chosen = {("de", "code"): "Antworte kurz.", ("fr", "explanation"): "Explique."}
     return docs.select("doc_id", X.base_lane(F.col("lane")).alias("base"), projections.with_instruction(prompt, X.base_lane(F.col("lane")), kind, chosen).alias("prompt"))
+
+
+@query()
+def compiled_grades(spark, d):
+    """Programs that were to be copied into a fence, a third of them with a change: whether they are exact, and compile."""
+    given = F.concat(F.lit("```python\n"), F.col("code"), F.when(F.col("doc_id") % 3 == 0, "#").otherwise(""), F.lit("\n```"))
+    return python_programs(spark, d).select("doc_id", X.grade_format(F.lit("exact_fence"), given, F.col("code"), F.array().cast("array<string>"), compiled=True).alias("g")).select("doc_id", "g.*")

@@ -180,3 +180,18 @@ def test_register_chain(spark, sf, docs):
         kind = "code" if r.n_chars > 800 else "explanation"
         more = {("de", "code"): "\n\nAntworte kurz.", ("fr", "explanation"): "\n\nExplique."}.get((r.lang, kind), "")
         assert got[i] == (r.lang, text + more)
+
+
+def test_compiled_grades(spark, sf, python):
+    got = rows(spark, sf, "compiled_grades")
+    want = {}
+    for i, _, code in python:
+        exact = re.fullmatch(r"```python\n(.*?)\n?```", f"```python\n{code}{'#' if i % 3 == 0 else ''}\n```", re.S)
+        if not exact:
+            want[i] = "response"
+        elif i % 3 == 0:
+            want[i] = "code changed while copying"
+        else:
+            want[i] = "passed" if PY.compiles_whole(code) else "copied code does not compile"
+    assert {i: g[1] if g[1].startswith(("code", "copied", "passed")) else "response" for i, g in got.items()} == want and len(set(want.values())) >= 3
+    assert PY.compiles("def f(a, a): pass") and not PY.compiles_whole("def f(a, a): pass")
