@@ -115,7 +115,7 @@ class Network:
 
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
-    """Fits the network; without rows of both labels, one that scores every text with the share of label 1 (0.5 if none)."""
+    """Fits the network. With fewer than 20 rows, or rows of one label only, one that scores every text with the share of label 1 (0.5 if none)."""
     if len(y) < 20 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))))
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network, name: str = "_score") -> DataFrame:
-    """The rows of docs, all columns, with ``name``: the probability of label 1."""
+    """The rows of docs, all columns, with ``name``: the probability of label 1. A null text is scored as an empty one; no rows give none."""
     schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that the classifier does not reject."""
+    """The rows of docs, all columns, that the classifier does not reject.
+
+    A null text is scored as an empty one, a null id keeps its row, repeated rows are kept or rejected together; ``threshold`` itself is kept.
+    """
     vectors, network = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
     name = free_name(docs, "_score")
     return scored(docs, vectors, network, name).where(F.col(name) >= threshold).drop(name)
