@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(table, key)
@@ -71,22 +73,32 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 def contains_any(docs: DataFrame, text: str, passages: DataFrame, passage: str, shingle: int = 4) -> DataFrame:
     """The docs that contain some passage as a substring.
 
-    Passages of at least shingle + 2 words are found by an equi-join on the shingle that follows their
-    first word (a match may cut the outer words), then verified; shorter ones, few, by comparison with every doc.
+    The words inside a passage, all but its first and last, which a match may cut, stand in the text as they are: passages of three
+    words and more are found by an equi-join on the first of these, up to ``shingle`` of them, and then verified. Passages of one or
+    two words, which have none, are compared with every text. The docs are written once and numbered, since they are read several times.
     """
-    split = lambda c: F.split(c, r"\s+")
-    named = passages.select(F.col(passage).alias("_p")).where(F.length("_p") > 0).distinct().withColumn("_w", split(F.col("_p")))
-    long = named.where(F.size("_w") >= shingle + 2).select("_p", F.xxhash64(F.slice("_w", 2, shingle)).alias("_s"))
-    short = named.where(F.size("_w") < shingle + 2).select("_p")
-    keyed = docs.withColumn("_id", F.xxhash64(*docs.columns))
-    # Only ids and hashes of shingles are joined; the texts come back for the few candidates.
-    hashed = keyed.select("_id", split(F.col(text)).alias("_dw"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_dw") - shingle + 1), lambda i: F.xxhash64(F.slice("_dw", i, shingle)))
-    shingled = hashed.select("_id", F.explode_outer(F.when(F.size("_dw") >= shingle, grams)).alias("_s"))
-    candidates = shingled.join(long, "_s").select("_id", "_p").distinct().withColumnRenamed("_id", "_cid")
-    hits = keyed.join(candidates, F.col("_id") == F.col("_cid")).where(F.contains(F.col(text), F.col("_p"))).select("_id")
-    direct = keyed.join(short, F.contains(F.col(text), F.col("_p")), "left_semi").select("_id")
-    return keyed.join(hits.unionByName(direct).distinct(), "_id", "left_semi").drop("_id")
+    words = lambda c: F.split(c, r"\s+")
+    named = passages.select(F.col(passage).alias("_p")).where(F.length("_p") > 0).distinct().withColumn("_w", words(F.col("_p")))
+    inner = F.least(F.lit(shingle), F.size("_w") - 2)
+    long = named.withColumn("_l", inner).where("_l > 0").select("_p", "_l", F.xxhash64("_l", F.slice("_w", F.lit(2), F.col("_l"))).alias("_s"))
+    short = named.where(inner < 1).select("_p")
+    keyed = checkpointed(docs.withColumn("_id", F.monotonically_increasing_id()))
+    # Only numbers and hashes of shingles are joined; the texts come back for the few candidates.
+    hashed = keyed.select("_id", words(F.col(text)).alias("_dw"))
+    # At most ``shingle`` lengths.
+    lengths = [r["_l"] for r in long.select("_l").distinct().collect()]
+    none = F.array().cast("array<bigint>")
+
+    def grams(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("_dw") - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice("_dw", i, n)))
+        return F.coalesce(F.when(F.size("_dw") >= n, made), none)
+
+    shingled = hashed.select("_id", F.explode_outer(F.array_distinct(F.concat(none, *[grams(n) for n in lengths]))).alias("_s"))
+    candidates = shingled.join(long.select("_p", "_s"), "_s").select("_id", "_p").distinct().withColumnRenamed("_id", "_cid")
+    found = keyed.join(candidates, F.col("_id") == F.col("_cid")).where(F.contains(F.col(text), F.col("_p"))).select("_id")
+    if not short.isEmpty():
+        found = found.unionByName(keyed.join(short, F.contains(F.col(text), F.col("_p")), "left_semi").select("_id"))
+    return keyed.join(found.distinct(), "_id", "left_semi").drop("_id")
 
 
 def ranked_top(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -231,6 +231,19 @@ def test_contains_any_is_exact(spark):
     assert rows(joins.contains_any(docs, "t", passages, "p").select("i"), "i") == [(1,), (3,)]
 
 
+def test_contains_any_by_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    make = lambda n: " ".join(rng.choice("ab") for _ in range(n)) + rng.choice(["", " ", "\t"])
+    texts = [(i % 50, make(rng.randint(0, 14))) for i in range(80)] + [(90, None), (3, "a  b"), (3, "a  b")]
+    for low, high in ((3, 8), (1, 3), (5, 9)):
+        wanted = [make(rng.randint(low, high)).strip() for _ in range(12)]
+        docs, passages = spark.createDataFrame(texts, "i int, t string").repartition(3), spark.createDataFrame([(p,) for p in wanted], "p string")
+        got = sorted(tuple(r) for r in joins.contains_any(docs, "t", passages, "p").collect())
+        assert got == sorted(x for x in texts if x[1] is not None and any(p and p in x[1] for p in wanted))
+
+
 def test_jaccard_pairs_match_brute_force(spark):
     import random
 
