@@ -145,7 +145,8 @@ def marker_rate(df: DataFrame, text: Column, markers: Sequence[str], *by: str) -
 def telemetry(df: DataFrame, speed: str, memory: str, *by: str, digits: int = 2) -> DataFrame:
     """Per group: the number of runs, the median speed, the highest memory, rounded to ``digits``."""
     runs = df.groupBy(*by).agg(F.count("*").alias("profiler_runs"), F.bround(F.max(memory), digits).alias("highest_peak_rss_mb"))
-    return _with_medians(runs, medians(df, F.col(speed), by, "median_tps"), by).withColumn("median_tps", F.bround("median_tps", digits))
+    joined = _with_medians(runs, medians(df, F.col(speed), by, "median_tps"), by)
+    return joined.select(*by, "profiler_runs", F.bround("median_tps", digits).alias("median_tps"), "highest_peak_rss_mb")
 
 
 def accuracy(rates: Mapping[str, Column]) -> Column:
