@@ -123,8 +123,8 @@ def load(path: str) -> Pieces:
     return Pieces(keys[order], np.array(ids, np.int32)[order], np.array(scores)[order], prefixes, int(sizes.max()), min(scores) - 10, byte_ids, decoded, "\n" in texts, merges)
 
 
-def merged(points: np.ndarray, p: Pieces) -> list[np.ndarray]:
-    """Each row's pieces after merging, again and again, its best pair (the leftmost of equal ones)."""
+def merged(points: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' pieces after merging, again and again, a row's best pair (the leftmost of equal ones), and how many each row has."""
     words, length = points.shape
     hashes = prefix_hashes(points)
     powers = np.cumprod(np.full(p.longest + 1, MULTIPLIER, np.uint64))
@@ -165,10 +165,9 @@ def merged(points: np.ndarray, p: Pieces) -> list[np.ndarray]:
     return _ids(p, points, hashes, powers, row, start, ends[row, start], words)
 
 
-def _ids(p: Pieces, points: np.ndarray, hashes: np.ndarray, powers: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, words: int) -> list[np.ndarray]:
+def _ids(p: Pieces, points: np.ndarray, hashes: np.ndarray, powers: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     at = p.find(hashes[row, end] - hashes[row, start] * powers[end - start - 1])
-    ids = np.where(at >= 0, p.ids[at], -1 - points[row, start].astype(np.int64))
-    return np.split(ids, np.cumsum(np.bincount(row, minlength=words))[:-1])
+    return np.where(at >= 0, p.ids[at], -1 - points[row, start].astype(np.int64)), np.bincount(row, minlength=words)
 
 
 def merged_long(points: np.ndarray, p: Pieces) -> np.ndarray:
@@ -220,8 +219,8 @@ def apart(points: np.ndarray, p: Pieces) -> np.ndarray:
     return np.flatnonzero(np.cumsum(crossed)[1:length] == 0) + 1
 
 
-def viterbi(points: np.ndarray, p: Pieces) -> list[np.ndarray]:
-    """The best segmentation of each row: piece ids, with -1 - code point for an unknown character."""
+def viterbi(points: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The best segmentation of each row: all piece ids, with -1 - code point for an unknown character, and how many each row has."""
     words, length = points.shape
     hashes = prefix_hashes(points)
     powers = np.cumprod(np.full(p.longest + 1, MULTIPLIER, np.uint64))
@@ -257,8 +256,7 @@ def viterbi(points: np.ndarray, p: Pieces) -> list[np.ndarray]:
     while (going := np.flatnonzero(at > 0)).size:
         taken[going, at[going] - 1] = True
         at[going] = back[going, at[going]]
-    counts = taken.sum(1)
-    return np.split(chosen[:, 1:][taken], np.cumsum(counts)[:-1])
+    return chosen[:, 1:][taken], taken.sum(1)
 
 
 class Codec:
@@ -280,15 +278,29 @@ class Codec:
                 part = own[k : k + step]
                 points = code_points([w.replace(" ", SPACE) for w in part])
                 if self.method == "viterbi":
-                    found = viterbi(points, self.pieces)
+                    ids, counts = viterbi(points, self.pieces)
                 elif length > LONG_WORD:
                     found = [self._long(points[i : i + 1]) for i in range(len(points))]
+                    ids, counts = np.concatenate(found), np.array([len(x) for x in found])
                 else:
-                    found = merged(points, self.pieces)
-                for word, ids in zip(part, found):
-                    if (ids < 0).any():
-                        ids = np.array([x for i in ids for x in ([i] if i >= 0 else [self.pieces.byte_ids[b] for b in chr(-1 - i).encode()])])
-                    self.memo[word] = ids.astype("<i4").tobytes()
+                    ids, counts = merged(points, self.pieces)
+                ids, counts = self._as_bytes(ids, counts)
+                # All words' ids are one string of bytes, of which each gets its part.
+                data, end = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                self.memo.update(zip(part, [data[a:b] for a, b in zip([0, *end], end)]))
+
+    def _as_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unknown characters as the pieces of their bytes."""
+        unknown = np.flatnonzero(ids < 0)
+        if not len(unknown):
+            return ids, counts
+        spelled = [[self.pieces.byte_ids[b] for b in chr(-1 - i).encode()] for i in ids[unknown].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[unknown] = [len(x) for x in spelled]
+        out = np.repeat(ids, size)
+        out[np.repeat(ids < 0, size)] = [x for s in spelled for x in s]
+        word = np.repeat(np.arange(len(counts)), counts)
+        return out, np.bincount(word, size, len(counts)).astype(np.int64)
 
     def _long(self, points: np.ndarray) -> np.ndarray:
         """A long word in the parts that no piece crosses: those of equal length are merged together, what is still long alone."""
@@ -304,7 +316,8 @@ class Codec:
                 continue
             for at in range(0, len(same), max(1, BLOCK // int(n))):
                 part = same[at : at + max(1, BLOCK // int(n))]
-                for k, x in zip(part, merged(points[0][edge[part][:, None] + np.arange(n)], self.pieces)):
+                found, counts = merged(points[0][edge[part][:, None] + np.arange(n)], self.pieces)
+                for k, x in zip(part, np.split(found, np.cumsum(counts)[:-1])):
                     ids[k] = x
         return np.concatenate(ids)
 
@@ -312,9 +325,11 @@ class Codec:
         """The piece ids of each text as little-endian 32-bit integers."""
         units = [self.unit.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         wanted = set().union(*units)
-        if len(self.memo) + len(wanted) > self.memo_words:
+        new = wanted - self.memo.keys()
+        if len(self.memo) + len(new) > self.memo_words:
             self.memo.clear()
-        self._learn([w for w in wanted if w not in self.memo])
+            new = wanted
+        self._learn(list(new))
         get = self.memo.__getitem__
         return [b"".join(map(get, u)) for u in units]
 
