@@ -7,7 +7,7 @@ Regular expressions over a whole lexicon are built once from literals.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -226,21 +226,40 @@ SOURCE_BLOCK = r"(?dmsU)^([ \t]*(?:def\s+[A-Za-z_]\w*\s*\([^\n]*\)\s*:|(?:async\
 
 def interfaces(text: Column) -> Column:
     """The distinct call signatures of a text, in order, with the arguments stripped."""
-    names, arguments = (F.regexp_extract_all(text, F.lit(INTERFACE), F.lit(k)) for k in (1, 2))
-    return F.array_distinct(F.zip_with(names, arguments, lambda n, a: F.concat(n, F.lit("("), strip(a), F.lit(")"))))
+    found = lambda t, k: F.regexp_extract_all(t, F.lit(INTERFACE), F.lit(k))
+    return _let(text, lambda t: F.array_distinct(F.zip_with(found(t, 1), found(t, 2), lambda n, a: F.concat(n, F.lit("("), strip(a), F.lit(")")))))
 
 
-def restore_contract(source: Column, translated: Column, interface_lead: str, block_lead: str) -> Column:
-    """struct(text, actions): the translation, then the signatures of the source's prose that it lacks, then the source's code block."""
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def contract_parts(source: Column) -> Column:
+    """struct(interfaces, code): the signatures of the source's prose, and its code block without the shared indentation, null if it has none."""
     block = F.regexp_extract(source, SOURCE_BLOCK, 1)
     prose = F.substring(source, F.lit(1), F.length(source) - F.length(block))
-    lost = F.filter(interfaces(prose), lambda c: ~F.contains(translated, c))
-    code = F.when(F.length(block) > 0, dedented_udf(block))
-    signatures = F.when(F.size(lost) > 0, F.concat(F.lit(interface_lead), F.array_join(lost, ", "), F.lit(".")))
-    parts = F.array_compact(F.array(signatures, F.concat(F.lit(f"{block_lead}\n```\n"), code, F.lit("\n```"))))
-    actions = F.array_compact(F.array(F.when(signatures.isNotNull(), F.lit("restored_interface")), F.when(code.isNotNull(), F.lit("restored_source_code"))))
-    ended = F.concat(F.regexp_replace(translated, r"(?U)\s+\z", ""), F.lit("\n\n"), F.array_join(parts, "\n\n"))
-    return F.struct(F.when(F.size(parts) > 0, ended).otherwise(translated).alias("text"), actions.alias("actions"))
+    return F.struct(interfaces(prose).alias("interfaces"), dedented_udf(F.nullif(block, F.lit(""))).alias("code"))
+
+
+def restored_contract(parts: Column, translated: Column, interface_lead: str, block_lead: str) -> Column:
+    """struct(text, actions): the translation, then the signatures of ``contract_parts`` that it lacks, then the code block."""
+
+    def made(x: Column) -> Column:
+        lost, code, target = x["lost"], x["code"], x["target"]
+        signatures = F.when(F.size(lost) > 0, F.concat(F.lit(interface_lead), F.array_join(lost, ", "), F.lit(".")))
+        ends = F.array_compact(F.array(signatures, F.concat(F.lit(f"{block_lead}\n```\n"), code, F.lit("\n```"))))
+        actions = F.array_compact(F.array(F.when(F.size(lost) > 0, F.lit("restored_interface")), F.when(code.isNotNull(), F.lit("restored_source_code"))))
+        ended = F.concat(F.regexp_replace(target, r"(?U)\s+\z", ""), F.lit("\n\n"), F.array_join(ends, "\n\n"))
+        return F.struct(F.when(F.size(ends) > 0, ended).otherwise(target).alias("text"), actions.alias("actions"))
+
+    lost = F.filter(parts["interfaces"], lambda c: ~F.contains(translated, c))
+    return _let(F.struct(lost.alias("lost"), parts["code"].alias("code"), translated.alias("target")), made)
+
+
+def restore_contract(source: Column, translated: Column, interface_lead: str, block_lead: str) -> Column:
+    """struct(text, actions): the translation, then the signatures of the source's prose that it lacks, then the source's code block."""
+    return restored_contract(contract_parts(source), translated, interface_lead, block_lead)
 
 
 def present_terms(text: Column, terms: Sequence[str]) -> Column:

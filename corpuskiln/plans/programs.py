@@ -24,12 +24,12 @@ def _quoted(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
-def python_programs(spark, d):
-    """doc_id, entry and a Python program: the first line as a comment, the text as docstring, its words as names, calls and imports.
+def python_programs(spark, d, *more: str):
+    """doc_id, entry, more columns of the documents, and a Python program: the first line as a comment, the text as docstring, its words as names, calls and imports.
 
     The words decide what the program does, and a fifth of the programs, those whose hash says so, are cut off in the middle of the text.
     """
-    docs = t(spark, d, "documents").select("doc_id", "text")
+    docs = t(spark, d, "documents").select("doc_id", "text", *[c for c in more if c != "text"])
     docs = docs.withColumn("w", F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), F.lit(0))).withColumn("h", F.crc32(F.col("text").cast("binary")))
     w, h = F.col("w"), F.col("h")
     a, b, c, e = (_name(w, k) for k in (0, 1, 2, 3))
@@ -42,7 +42,7 @@ def python_programs(spark, d):
     )
     code = F.concat(F.lit("# "), F.regexp_replace(F.substring_index("text", "\n", 1), r"[\r\f\x0b\x00]", " "), F.lit("\n"), lead, F.lit("def "), a, F.lit("("), b, F.lit(": int, "), c, F.lit("=None, *"), e, F.lit("_: str) -> str:\n"), docstring, body, F.lit("\nprint("), a, F.lit("(1))\n"))
     cut = F.when(h % 5 == 0, F.substring(code, F.lit(1), F.floor(F.length(code) * 2 / 3).cast("int"))).otherwise(code)
-    return docs.select("doc_id", a.alias("entry"), cut.alias("code"))
+    return docs.select("doc_id", a.alias("entry"), *more, cut.alias("code"))
 
 
 def script_programs(spark, d):
@@ -103,14 +103,14 @@ def translated_contracts(spark, d):
     """
     docs = t(spark, d, "documents").select("doc_id", "text", "source", "lang")
     model = docs.groupBy("source", "lang").agg(F.min_by("text", "doc_id").alias("model")).withColumnsRenamed({"source": "s", "lang": "l"})
-    rows = docs.join(model, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
-    rows = rows.join(python_programs(spark, d), "doc_id")
     source = F.concat("text", F.lit(" Call "), "entry", F.lit("( x ) now.\n  "), F.replace("code", F.lit("\n"), F.lit("\n  ")))
-    made = X.substitute_phrases(source, S.PHRASES)
-    rows = rows.select("doc_id", "model", source.alias("given"), made["hits"].alias("hits"), made["text"].alias("prepared"))
-    rows = rows.withColumn("r", X.restore_contract(F.col("given"), F.col("model"), "Signature: ", "Code:"))
-    actions = F.concat(F.transform("hits", lambda h: F.concat(h["source"], F.lit(">"), h["replacement"])), F.col("r.actions"))
-    return rows.select("doc_id", F.sha2("prepared", 256).alias("prepared_sha256"), "r.text", F.array_join(actions, ",").alias("actions"))
+    rows = python_programs(spark, d, "text", "source", "lang").select("doc_id", "source", "lang", source.alias("given"))
+    # What a program alone decides is worked out where it is read, each once.
+    rows = rows.select("doc_id", "source", "lang", X.contract_parts(F.col("given")).alias("parts"), X.substitute_phrases(F.col("given"), S.PHRASES).alias("made"))
+    rows = rows.select("doc_id", "source", "lang", "parts", F.sha2("made.text", 256).alias("prepared_sha256"), F.transform("made.hits", lambda h: F.concat(h["source"], F.lit(">"), h["replacement"])).alias("hits"))
+    rows = rows.join(model, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
+    rows = rows.select("doc_id", "prepared_sha256", "hits", X.restored_contract(F.col("parts"), F.col("model"), "Signature: ", "Code:").alias("r"))
+    return rows.select("doc_id", "prepared_sha256", "r.text", F.array_join(F.concat("hits", "r.actions"), ",").alias("actions"))
 
 
 @query()

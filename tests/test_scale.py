@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from corpuskiln.operators import similarity
+from corpuskiln.plans import catalogue
 
 
 def shuffled(spark):
@@ -28,3 +29,9 @@ def test_near_copies_are_not_sent_once_for_each_pair(spark, monkeypatch, home):
     assert got == want
     # All words have about 1.2 MB; a copy of a set for each pair has 60 times as much.
     assert shuffled(spark) - before < (12 << 20 if home > 20_000 else 24 << 20)
+
+
+def test_contract_chain_reads_each_program_once(spark, sf):
+    plan = catalogue.QUERIES["translated_contracts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # The documents meet the models of their groups, nothing else.
+    assert plan.count("Join ") == 1
