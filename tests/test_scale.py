@@ -35,3 +35,12 @@ def test_contract_chain_reads_each_program_once(spark, sf):
     plan = catalogue.QUERIES["translated_contracts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # The documents meet the models of their groups, nothing else.
     assert plan.count("Join ") == 1
+
+
+@pytest.mark.parametrize("name", ["program_mutants", "program_findings", "program_trims", "program_contracts", "script_masks", "markdown_texts", "semantic_score"])
+def test_python_gets_few_texts_at_once(spark, sf, name):
+    # The defaults, whatever ran before.
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    df = catalogue.QUERIES[name](spark, sf)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512 and df.columns
