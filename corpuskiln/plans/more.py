@@ -328,6 +328,10 @@ def validated_write(spark, d):
     return spark.createDataFrame(list(report.failed.items()), "check string, n long")
 
 
+#: Events of one log file, which one task sorts.
+LOG_ROWS = 500_000
+
+
 @query("SELECT CAST(event_id % 50 + 1 AS INTEGER) AS number, 't' || event_id AS task, event_type AS language, CASE WHEN event_id % 7 > 0 THEN value > 20 END AS passed, CASE WHEN event_id % 7 > 0 THEN round(value, 1) END AS seconds FROM events")
 def log_sessions(spark, d):
     """Logs of runs, a seventh of whose tasks broke off: each task with its verdict, from files that are read in many pieces."""
@@ -335,7 +339,8 @@ def log_sessions(spark, d):
     head = F.format_string("[%02d/50] t%d %s", F.col("event_id") % 50 + 1, F.col("event_id"), F.col("event_type"))
     verdict = F.concat(F.lit("\n  "), F.when(F.col("value") > 20, "PASS").otherwise("FAIL"), F.lit(" | "), F.round("value", 1).cast("string"), F.lit("s"))
     text = F.concat(head, F.lit("\nloading"), F.when(F.col("event_id") % 7 > 0, verdict).otherwise(""))
-    t(spark, d, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select(text.alias("value")).write.text(path)
+    events = t(spark, d, "events")
+    events.repartitionByRange(max(3, -(-events.count() // LOG_ROWS)), "event_id").sortWithinPartitions("event_id").select(text.alias("value")).write.text(path)
     return readers.read_sessions(spark, path).select("number", "task", "language", "passed", "seconds")
 
 

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 from corpuskiln.operators import similarity
-from corpuskiln.plans import catalogue
+from corpuskiln.plans import catalogue, more
 
 
 def shuffled(spark):
@@ -44,3 +44,11 @@ def test_python_gets_few_texts_at_once(spark, sf, name):
         spark.conf.unset(f"spark.sql.execution.arrow.{key}")
     df = catalogue.QUERIES[name](spark, sf)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512 and df.columns
+
+
+def test_a_task_sorts_a_bounded_part_of_the_logs(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(more, "shared_folder", lambda _: f"{tmp_path}/log")
+    monkeypatch.setattr(more, "LOG_ROWS", 100, raising=False)
+    n = catalogue.t(spark, sf, "events").count()
+    assert catalogue.QUERIES["log_sessions"](spark, sf).count() == n > 500
+    assert len(list(tmp_path.glob("log/part-*"))) == -(-n // 100)
