@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from corpuskiln.operators import similarity
+from corpuskiln.operators import glossary, similarity
 from corpuskiln.plans import catalogue, more
 
 
@@ -52,3 +52,12 @@ def test_a_task_sorts_a_bounded_part_of_the_logs(spark, sf, monkeypatch, tmp_pat
     n = catalogue.t(spark, sf, "events").count()
     assert catalogue.QUERIES["log_sessions"](spark, sf).count() == n > 500
     assert len(list(tmp_path.glob("log/part-*"))) == -(-n // 100)
+
+
+def test_a_larger_glossary_does_not_read_the_texts_again(spark, monkeypatch):
+    monkeypatch.setattr(glossary, "PART_PHRASES", 4)
+    texts = spark.createDataFrame([(1, "Alpha beta, gamma delta"), (2, None), (3, ""), (4, "beta alpha BETA")], "i long, t string")
+    table = spark.createDataFrame([(k, p, p.upper()) for k, p in enumerate(["beta", "alpha beta", "gamma", "delta", "Beta", *[f"word{n}" for n in range(40)]])], "ordinal long, phrase string, value string")
+    made = glossary.substituted(texts, table, "i", "t")
+    assert {r.i: (r.replaced, r.hits) for r in made.collect()} == {1: ("ALPHA BETA, GAMMA DELTA", ["alpha beta", "gamma", "delta"]), 2: (None, []), 3: ("", []), 4: ("BETA ALPHA BETA", ["beta", "alpha beta"])}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
