@@ -5,6 +5,8 @@ from itertools import combinations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpuskiln.operators import glossary, similarity
 from corpuskiln.plans import catalogue, more
 
@@ -61,3 +63,17 @@ def test_a_larger_glossary_does_not_read_the_texts_again(spark, monkeypatch):
     made = glossary.substituted(texts, table, "i", "t")
     assert {r.i: (r.replaced, r.hits) for r in made.collect()} == {1: ("ALPHA BETA, GAMMA DELTA", ["alpha beta", "gamma", "delta"]), 2: (None, []), 3: ("", []), 4: ("BETA ALPHA BETA", ["beta", "alpha beta"])}
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
+def test_words_of_one_side_only_are_not_shuffled_for_their_places(spark):
+    words = lambda k, n: [f"w{k}x{i:05d}y{i * 7919 % 10007}" for i in range(n)]
+    base = words("s", 40)
+    sets = [(0, base), (1, base[:30] + words("o", 2)), (2, base[:20] + words("p", 20)), *[(k, words(k, 2000) + base[:5]) for k in range(3, 60)]]
+    candidates, seen = spark.createDataFrame(sets, "k long, w array<string>"), spark.createDataFrame([(base,)], "w array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = similarity._near_by_jaccard(candidates.select(F.array_sort("w").alias("_w")), seen.select(F.array_sort("w").alias("_w")), 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k for r in similarity.without_paraphrases(candidates, seen, "w").collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == set(range(2, 60))
+    # Only words that both sides have are ranked.
+    assert "(_lo#" in plans and "< _hi#" in plans and plans.index("Window") < plans.index("< _hi#")
