@@ -97,3 +97,42 @@ def test_medians_of_the_whole(spark):
     df = spark.range(1001).select((F.col("id") * 0.5).alias("v"))
     assert selection.medians(df, F.col("v"), [], few=10).first()["median"] == 250.0
     assert evaluation.telemetry(df.withColumn("m", F.lit(1.0)).limit(0), "v", "m").first().median_tps is None
+
+
+def test_keys_are_worked_on_by_buckets(spark, tmp_path, monkeypatch):
+    """A key alone costs milliseconds: work gets the first rows of many keys at once, and state has a value for a bucket."""
+    monkeypatch.setattr(incremental, "BUCKETS", 8, raising=False)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    keys = [(a, b) for a in [None, *map(str, range(99))] for b in (None, "0")]
+
+    def go(low):
+        rows = [(a, b, v, "t" if a is None else a, i % 7) for i, (a, b) in enumerate(keys) for v in (low + 1, low)]
+        spark.createDataFrame(rows, "a string, b string, v int, text string, day long").select("a", "b", "v", "text", F.timestamp_seconds(1_700_000_000 + F.col("day")).alias("at")).coalesce(1).write.mode("append").parquet(source)
+        stream = incremental.read_stream(spark, source, "a string, b string, v int, text string, at timestamp", "parquet")
+        work = lambda job: job.assign(n=len(job), error=["bad" if v == 0 and b is None else "" for v, b in zip(job["v"], job["b"])])[["a", "b", "v", "n", "error"]]
+        made = "a string, b string, v int, n int, error string"
+        query = incremental.resume(stream, "r", ["a", "b"], "v", "at", work, made, out, state)
+        query.awaitTermination()
+        return spark.read.schema(made).parquet(out).collect()
+
+    one = go(0)
+    assert sorted(map(str, one)) and {(r.a, r.b) for r in one} == set(keys) and len(one) == len(keys) and {r.v for r in one} == {0}
+    assert max(r.n for r in one) > 1
+    two = go(5)[:]
+    again = [(r.a, r.b, r.v) for r in two if r.v]
+    assert sorted(again, key=str) == sorted([(a, b, 5) for a, b in keys if b is None], key=str)
+
+
+def test_first_texts_have_state_by_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "BUCKETS", 8, raising=False)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema, sizes = "k int, text string, at timestamp", []
+    for start in (0, 100):
+        rows = [(start + i, f"Text  {(start + i) % 150}" if i % 2 else f"text {(start + i) % 150}") for i in range(100)]
+        spark.createDataFrame(rows, "k int, text string").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000))).coalesce(1).write.mode("append").parquet(source)
+        with incremental.keyed_state(spark):
+            query = incremental.first_seen(incremental.read_stream(spark, source, schema, "parquet"), "text", "k", "at").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        sizes.append(max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]))
+    assert sorted(r.k for r in spark.read.schema(schema).parquet(out).collect()) == list(range(150))
+    assert max(sizes) <= 4 * 8
