@@ -33,6 +33,39 @@ def test_near_copies_are_not_sent_once_for_each_pair(spark, monkeypatch, home):
     assert shuffled(spark) - before < (12 << 20 if home > 20_000 else 24 << 20)
 
 
+def test_long_sets_that_are_not_similar_are_not_sent(spark, monkeypatch):
+    dice = random.Random(7)
+    words = [f"{dice.randrange(10**15):x}" for _ in range(2600)]
+    # Chosen from few words, all pairs are at a similarity of about 0.6, under the threshold; three are near copies.
+    sets = {k: dice.sample(words, 2000) for k in range(90)}
+    sets |= {90: sets[0][:1900], 91: sets[1][:1500] + ["x", "y"], 92: sets[2][:1200]}
+    share = lambda a, b: len(a & b) / len(a | b)
+    want = {(a, b) for a, b in combinations(sets, 2) if share(set(sets[a]), set(sets[b])) >= 0.7}
+    monkeypatch.setattr(similarity, "HOME", 20_000)
+    df = spark.createDataFrame(list(sets.items()), "k long, w array<string>").repartition(4).cache()
+    df.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled(spark)
+    got = {(r.a, r.b) for r in similarity.jaccard_pairs(df, "k", "w", 0.7).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and {(0, 90), (1, 91)} <= got and (2, 92) not in got
+    # All words have 1.5 MB; each of ten parts meeting each other part has ten times as much.
+    assert shuffled(spark) - before < 8 << 20
+
+
+def test_prefixes_are_joined_in_turns(spark, monkeypatch):
+    dice = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    sets = {k: dice.sample(words, dice.randrange(1, 40)) for k in range(120)}
+    sets |= {k + 120: sets[k][: max(len(sets[k]) * 4 // 5, 1)] for k in range(120)} | {300: []}
+    monkeypatch.setattr(similarity, "PREFIXES", 200)
+    turns = list(similarity._turns({0: 3, 1: 5, 4: 4000, 5: 10}))
+    assert turns[0] == ([0, 1], 0, 1) and turns[-1] == ([5], 0, 1) and [t[1:] for t in turns[1:-1]] == [(k, len(turns) - 2) for k in range(len(turns) - 2)]
+    want = {(a, b) for a, b in combinations(sets, 2) if sets[a] and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.7}
+    df = spark.createDataFrame(list(sets.items()), "k long, w array<string>")
+    assert {(r.a, r.b) for r in similarity.jaccard_pairs(df, "k", "w", 0.7).collect()} == want and len(want) >= 60
+
+
 def test_contract_chain_reads_each_program_once(spark, sf):
     plan = catalogue.QUERIES["translated_contracts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # The documents meet the models of their groups, nothing else.
