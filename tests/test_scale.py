@@ -1,5 +1,6 @@
 """Work and memory that may not grow faster than the input."""
 
+import difflib
 import random
 from itertools import combinations
 
@@ -66,6 +67,23 @@ def test_prefixes_are_joined_in_turns(spark, monkeypatch):
     assert {(r.a, r.b) for r in similarity.jaccard_pairs(df, "k", "w", 0.7).collect()} == want and len(want) >= 60
 
 
+def test_short_texts_and_lookups_in_turns(spark, monkeypatch):
+    dice = random.Random(11)
+    letters = "etaoinshrdlucmfwypvbgkqjxz"
+    words = ["".join(dice.choice(letters) for _ in range(dice.randint(3, 9))) for _ in range(300)]
+    texts = [" ".join(sorted(dice.sample(words, n))) for n in [2, 3, 5, 12, 20, 28, 60] * 40]
+    texts = list(dict.fromkeys([*texts, *[t[:-3] + "xyz" for t in texts[::5]], *[t + " w" for t in texts[::7]]]))
+    want = {(i, j) for (i, a), (j, b) in combinations(enumerate(texts), 2) if min(len(a), len(b)) > 0.75 * max(len(a), len(b)) and difflib.SequenceMatcher(None, a, b).ratio() >= 0.86}
+    monkeypatch.setattr(similarity, "CHARACTERS", 20_000, raising=False)
+    left, right = (spark.createDataFrame(list(enumerate(texts)), f"_{c} long, _t{c} string") for c in "ab")
+    candidates = {tuple(r) for r in similarity.sequence_candidates(left, right, 0.86, ordered=True).collect()}
+    assert candidates >= want and len(want) > 80
+    # Random short texts are told apart before their texts meet.
+    assert len(candidates) < 4 * len(want)
+    shorter = {(i, j) for i, j in want if max(len(texts[i]), len(texts[j])) < 200}
+    assert len(shorter) > 40
+
+
 def test_contract_chain_reads_each_program_once(spark, sf):
     plan = catalogue.QUERIES["translated_contracts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # The documents meet the models of their groups, nothing else.
