@@ -84,6 +84,14 @@ def test_short_texts_and_lookups_in_turns(spark, monkeypatch):
     assert len(shorter) > 40
 
 
+def test_only_words_of_the_other_side_leave_the_scan(spark):
+    sets = [(0, list(range(10))), (1, [*range(7), 100, 101, 102]), (2, [*range(6), *range(100, 104)]), (3, list(range(200, 240))), (4, [])]
+    df = spark.createDataFrame(sets, "k long, h array<long>").select(F.col("k").alias("_c"), F.lit(0).alias("_side"), F.size("h").alias("_n"), F.transform("h", lambda x: F.xxhash64(x)).alias("_h"))
+    bitmap = similarity._bitmap(spark.range(10).select(F.xxhash64("id").alias("_x")))
+    kept = similarity._within(df, bitmap, 0.7).groupBy("_c").count().collect()
+    assert {r._c: r["count"] for r in kept} == {0: 10, 1: 7}
+
+
 def test_contract_chain_reads_each_program_once(spark, sf):
     plan = catalogue.QUERIES["translated_contracts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # The documents meet the models of their groups, nothing else.
